@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op7_byte_bpe
+from .exact_topk import OP6_SQL, op6_exact_topk
+from .language_id import op1_language_id
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op6_exact_topk": op6_exact_topk,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_toxicity": op8_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_exact_topk": OP6_SQL,
+    }
