@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op7_byte_bpe
 from .exact_topk import OP6_SQL, op6_exact_topk
+from .html_extract import op4_html_extraction
 from .language_id import op1_language_id
 from .toxicity import op8_toxicity
 
@@ -15,6 +16,7 @@ from .toxicity import op8_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_html_extraction": op4_html_extraction,
         "op6_exact_topk": op6_exact_topk,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
@@ -23,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_html_extraction": op4_html_extraction,
         "op6_exact_topk": OP6_SQL,
     }
