@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op7_byte_bpe
+from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_topk import OP6_SQL, op6_exact_topk
 from .html_extract import op4_html_extraction
 from .language_id import op1_language_id
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_topk": op6_exact_topk,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
+        "op9_decontamination": op9_decontamination,
     }
 
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_html_extraction": op4_html_extraction,
         "op6_exact_topk": OP6_SQL,
+        "op9_decontamination": OP9_SQL,
     }
