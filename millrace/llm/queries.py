@@ -11,12 +11,14 @@ from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_topk import OP6_SQL, op6_exact_topk
 from .html_extract import op4_html_extraction
 from .language_id import op1_language_id
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_line_dedup": op3_line_dedup,
         "op4_html_extraction": op4_html_extraction,
         "op6_exact_topk": op6_exact_topk,
         "op7_byte_bpe": op7_byte_bpe,
@@ -27,7 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op3_line_dedup": OP3_SQL,
         "op6_exact_topk": OP6_SQL,
         "op9_decontamination": OP9_SQL,
     }
