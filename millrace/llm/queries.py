@@ -10,6 +10,7 @@ from .byte_bpe import op7_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_topk import OP6_SQL, op6_exact_topk
 from .html_extract import op4_html_extraction
+from .jaccard_join import OP10_SQL, op10_ngram_jaccard_join
 from .language_id import op1_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .toxicity import op8_toxicity
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_decontamination": op9_decontamination,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
@@ -34,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": OP3_SQL,
         "op6_exact_topk": OP6_SQL,
         "op9_decontamination": OP9_SQL,
+        "op10_ngram_jaccard_join": OP10_SQL,
     }
