@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from millrace.llm.common import crc_mod, free_name, shared_dir, store, table
+from millrace.shipping import ship
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedupe_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -43,6 +45,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of their decoded bytes."""
+    ship(spark)
     return byte_bpe.digests(docs)
 
 

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Characters of text that one vectorised step of a Python stage works on at most (a longer single text goes alone).
 STEP_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table by name."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; the session's Python workers get this package."""
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, default: str | None = None) -> str:
