@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException
 
 from ..errors import PlanError
 from ..session import prepare
