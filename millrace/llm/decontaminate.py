@@ -24,6 +24,8 @@ from .common import ascii_lower, release, shared_dir, store, table
 
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Words of a row that are opened together; an exploded row carries these and a window's words around them, never the row's all.
+SEGMENT = 48
 #: Rows that one broadcast block holds on average (an anchor has at most 2 * window - 1 words, a term one).
 BLOCK_ROWS = 200_000
 
@@ -62,18 +64,30 @@ def _anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return found.groupBy("term", "ctx", "a", "w").agg(F.collect_set("item").alias("items"))
 
 
-def _runs(index: DataFrame, anchors: DataFrame) -> DataFrame:
+def _segments(index: DataFrame, margin: int, length: int = SEGMENT) -> DataFrame:
+    """doc_id, print, base and seg: words from place ``base`` on, ``length`` of the row's own with ``margin`` words around them."""
+    starts = index.where("n_words > 0").select("doc_id", "print", "words", F.sequence(F.lit(0), F.col("n_words") - 1, F.lit(length)).alias("starts"))
+    cut = F.transform("starts", lambda s: F.struct(F.greatest(s - margin, F.lit(0)).alias("base"), s.alias("own"), F.slice("words", F.greatest(s - margin, F.lit(0)) + 1, length + margin + F.least(s, F.lit(margin))).alias("seg")))
+    return starts.select("doc_id", "print", F.explode(cut).alias("x")).select("doc_id", "print", "x.base", "x.own", "x.seg")
+
+
+def _postings(segments: DataFrame, length: int = SEGMENT) -> DataFrame:
+    """Every word of a row once: its term, its place ``at`` in the segment, and the segment."""
+    each = segments.select("doc_id", "print", "base", "own", "seg", F.posexplode("seg").alias("at", "term"))
+    return each.where((F.col("base") + F.col("at") >= F.col("own")) & (F.col("base") + F.col("at") < F.col("own") + length))
+
+
+def _runs(index: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     """Exact runs: the row's key, start and end (inclusive) in the row, and items."""
-    near = lambda k: F.get("words", F.col("pos") + k).eqNullSafe(F.get("ctx", F.col("a") + k)) & (F.col("a") + k >= 0) & (F.col("a") + k < F.size("ctx"))
+    near = lambda k: F.get("seg", F.col("at") + k).eqNullSafe(F.get("ctx", F.col("a") + k)) & (F.col("a") + k >= 0) & (F.col("a") + k < F.size("ctx"))
     found = []
     for part in _blocks(anchors, "term"):
-        postings = index.select("doc_id", "print", "words", F.posexplode("words").alias("pos", "term"))
         # Every window around the term holds two of its left neighbours or two of its right ones, if it has five words.
         close = (F.col("w") < 5) | (near(-1) & near(-2)) | (near(1) & near(2))
-        met = postings.alias("p").join(F.broadcast(part), "term").where(close)
+        met = _postings(_segments(index, window - 1)).join(F.broadcast(part), "term").where(close)
         # How far the intersection goes to each side before the first difference.
-        side = lambda sign, most: F.when(most > 0, F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), most), lambda k: ~F.get("words", F.col("pos") + k * sign).eqNullSafe(F.get("ctx", F.col("a") + k * sign)))) - 1, most)).otherwise(0)
-        ends = met.select("doc_id", "print", "pos", "w", "items", side(-1, F.col("a")).alias("left"), side(1, F.size("ctx") - 1 - F.col("a")).alias("right"))
+        side = lambda sign, most: F.when(most > 0, F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), most), lambda k: ~F.get("seg", F.col("at") + k * sign).eqNullSafe(F.get("ctx", F.col("a") + k * sign)))) - 1, most)).otherwise(0)
+        ends = met.select("doc_id", "print", (F.col("base") + F.col("at")).alias("pos"), "w", "items", side(-1, F.col("a")).alias("left"), side(1, F.size("ctx") - 1 - F.col("a")).alias("right"))
         found.append(ends.where(F.col("left") + F.col("right") + 1 >= F.col("w")).select("doc_id", "print", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"), "items"))
     return reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "print", "start", "end", "items"])
 
@@ -84,14 +98,14 @@ def _near(index: DataFrame, anchors: DataFrame, items: DataFrame, window: int, g
     terms = anchors.select("term").distinct()
     each = grams.select("item", "w", "gram", F.explode(F.array_distinct("gram")).alias("term")).join(terms, "term", "left_semi")
     one = each.groupBy("w", "gram").agg(F.min("term").alias("term"), F.collect_set("item").alias("items"))
-    found = []
+    found, reach = [], window + gap - 1
     for part in _blocks(one, "term"):
-        met = index.select("doc_id", "print", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(part), "term")
-        spot = met.select("doc_id", "print", "words", "gram", "items", "w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("w") - gap + 1), F.col("pos"))).alias("start"))
-        inside = F.slice("words", F.col("start") + 1, F.col("w") + gap)
+        met = _postings(_segments(index, reach)).join(F.broadcast(part), "term")
+        spot = met.select("doc_id", "print", "base", "seg", "gram", "items", "w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("w") - gap + 1), F.col("at"))).alias("start"))
+        inside = F.slice("seg", F.col("start") + 1, F.col("w") + gap)
         all_in = F.forall("gram", lambda g: F.size(F.filter(inside, lambda x: x == g)) >= F.size(F.filter(F.col("gram"), lambda x: x == g)))
-        whole = F.least(F.size("words") - 1, F.col("start") + F.col("w") + gap - 1)
-        found.append(spot.where(all_in).select("doc_id", "print", "start", whole.alias("end"), "items"))
+        whole = F.least(F.size("seg") - 1, F.col("start") + F.col("w") + gap - 1)
+        found.append(spot.where(all_in).select("doc_id", "print", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + whole).alias("end"), "items"))
     return reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "print", "start", "end", "items"])
 
 
@@ -105,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gap: in
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
     counts = [index.select(F.explode("words").alias("term")).join(F.broadcast(v), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")) for v in _blocks(vocabulary, "term")]
     anchors = store(_anchors(items, reduce(DataFrame.unionByName, counts), window), root, "anchors")
-    runs = _near(index, anchors, items, window, gap) if gap else _runs(index, anchors)
+    runs = _near(index, anchors, items, window, gap) if gap else _runs(index, anchors, window)
     per_row = runs.groupBy("doc_id", "print").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
