@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, steps, table, with_field
+from .common import free_name, steps, table, with_field, without
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NO_RANK = np.int32(2**31 - 1)
@@ -383,6 +383,7 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> ByteBpe:
 
 def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``output`` (array<int>): the ids of every whole text, as ``encode_ordinary`` of the tiktoken library gives them."""
+    df = without(df, output)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +400,7 @@ def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: s
 
 def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``output`` (binary): the bytes that the ids stand for (null ids: null)."""
+    df = without(df, output)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

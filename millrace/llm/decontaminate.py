@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, release, shared_dir, store, table
+from .common import ascii_lower, free_name, release, shared_dir, store, table
 
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -154,8 +154,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    hit = matches(docs.select("doc_id", "text"), benchmark, window).where(F.col("runs").isNotNull()).select(F.col("doc_id").alias("hit_id"), F.col("print").alias("hit_print")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_print"]), "left_anti")
+    hit_id, hit_print = free_name(docs, "hit_id"), free_name(docs, "hit_print")
+    hit = matches(docs.select("doc_id", "text"), benchmark, window).where(F.col("runs").isNotNull()).select(F.col("doc_id").alias(hit_id), F.col("print").alias(hit_print)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_print)), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, stratified, table, with_field
+from .common import steps, stratified, table, with_field, without
 
 # Kinds of HTML elements.
 BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -303,6 +303,7 @@ def train(pages: DataFrame, n_pages: int = 300, key: str = "page_id") -> np.ndar
 
 def extract(df: DataFrame, weights: np.ndarray, page: str = "html", output: str = "text") -> DataFrame:
     """Add ``output``: the main text of every whole page."""
+    df = without(df, output)
     at = df.columns.index(page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, stratified, table, with_field
+from .common import crc_mod, stratified, table, with_field, without
 
 # Language codes by family; a code that is in none is a family of its own.
 FAMILIES = {
@@ -148,6 +148,7 @@ def train(df: DataFrame, allowed: Column | None = None, per_language: int = 300)
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language and its score for every whole text."""
+    df = without(df, lang, score)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, without
 
 SINGLE_WORDS = 50
 #: Different lines with one 64-bit hash: far more than any corpus has.
@@ -69,14 +69,15 @@ def removed_lines(docs: DataFrame, single_words: int = SINGLE_WORDS) -> DataFram
 
 def dedupe_lines(docs: DataFrame, single_words: int = SINGLE_WORDS, removed: str = "removed") -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``, and ``removed``: the places of the lines cut (null: none)."""
-    key, print_ = free_name(docs, "dedup_id"), free_name(docs, "dedup_print")
-    cut = removed_lines(docs, single_words).select(F.col("id").alias(key), F.col("print").alias(print_), F.col("removed").alias("dedup_removed"))
+    docs = without(docs, removed)
+    key, print_, gone = free_name(docs, "dedup_id"), free_name(docs, "dedup_print"), free_name(docs, "dedup_removed")
+    cut = removed_lines(docs, single_words).select(F.col("id").alias(key), F.col("print").alias(print_), F.col("removed").alias(gone))
     left = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(print_, F.xxhash64("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col("dedup_removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col(gone))
     lines = _lines(F.col("text"))
-    text = F.when(F.col("dedup_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     joined = left.join(cut, [key, print_], "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("dedup_removed").alias(removed))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(gone).alias(removed))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, stratified, table, with_field
+from .common import crc_mod, stratified, table, with_field, without
 
 # Look-alike letters and the digits and signs written for letters.
 LOOKALIKES = {
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "toxicity") -> DataFrame:
     """Add ``output`` (double from 0 to 1) for every whole text."""
+    df = without(df, output)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
