@@ -13,14 +13,18 @@ from .html_extract import op4_html_extraction
 from .jaccard_join import OP10_SQL, op10_ngram_jaccard_join
 from .language_id import op1_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .pii import op2_pii
+from .secret_scan import op5_secret_scan
 from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_pii": op2_pii,
         "op3_line_dedup": op3_line_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op5_secret_scan": op5_secret_scan,
         "op6_exact_topk": op6_exact_topk,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
@@ -31,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_pii": op2_pii,
         "op3_line_dedup": op3_line_dedup,
         "op4_html_extraction": op4_html_extraction,
         "op3_line_dedup": OP3_SQL,
