@@ -30,7 +30,13 @@ def shared_dir(spark: SparkSession, default: str | None = None) -> str:
 def store(df: DataFrame, root: str, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again, so that lost executors cost no recomputation."""
     path = f"{root}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")  # what has been written needs its shuffle files no more
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,5 +94,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names (whatever their case): an output replaces a column that is called so."""
+    gone = {n.lower() for n in names}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    return df if len(kept) == len(df.columns) else df.select(*[F.col(f"`{c}`") for c in kept])
+
+
 def with_field(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([*schema.fields, *fields])

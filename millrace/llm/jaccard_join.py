@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import POWER, POWER_INVERSE, powers
-from .common import shared_dir, steps, store, table
+from .common import free_name, shared_dir, steps, store, table
 from .components import components
 
 SHINGLE = 5
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, frequent: list[tuple[int, int]], boundary: int, collisions: set[int]) -> DataFrame:
-    """t (a shingle of a prefix, or a subset's key), c (class), n (its size), left (shingles after t in the order, at most)."""
+    """t (a shingle of a prefix, or a subset's key), c (class) and n (its size)."""
     spark = docs.sparkSession
     order = sorted(frequent)
     table_ = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.int64), np.array([k for _, k in order], np.int64)))
@@ -151,7 +151,7 @@ def _postings(docs: DataFrame, frequent: list[tuple[int, int]], boundary: int, c
         seen: set[int] = set()
         for batch in batches:
             for part in steps(batch, 0):
-                t, c, n, left = [], [], [], []
+                t, c, n = [], [], []
                 for s in shingle_sets(part.column(0).to_pylist()):
                     size = len(s)
                     if not size:
@@ -163,10 +163,9 @@ def _postings(docs: DataFrame, frequent: list[tuple[int, int]], boundary: int, c
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(p)
-                    keys, rest = [], []
+                    keys = []
                     if size <= boundary:
                         keys.append(np.array(subset_keys(s, subset_sizes(size, boundary)), np.int64))
-                        rest.append(np.full(len(keys[0]), size - 1))
                     if WHOLE * size >= PART * (boundary + 1):
                         k = prefix_length(size)
                         if len(hot):
@@ -179,16 +178,14 @@ def _postings(docs: DataFrame, frequent: list[tuple[int, int]], boundary: int, c
                         else:
                             rare = s[:k]
                         keys.append(rare)
-                        rest.append(size - 1 - np.arange(len(rare)))
-                    for a, r in zip(keys, rest):
+                    for a in keys:
                         t.append(a)
                         c.append(np.full(len(a), p, np.int64))
                         n.append(np.full(len(a), size, np.int32))
-                        left.append(r.astype(np.int32))
                 flat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]))
-                yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(c, np.int64), flat(n, np.int32), flat(left, np.int32)], ["t", "c", "n", "left"])
+                yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(c, np.int64), flat(n, np.int32)], ["t", "c", "n"])
 
-    return docs.select("text").mapInArrow(run, "t long, c long, n int, left int")
+    return docs.select("text").mapInArrow(run, "t long, c long, n int")
 
 
 def boundary_by_cost(sizes: DataFrame) -> int:
@@ -225,6 +222,18 @@ def _fits(n: str, m: str) -> str:
     return f"{WHOLE} * least({n}, {m}) >= {PART} * greatest({n}, {m})"
 
 
+def _candidates(met: DataFrame, boundary: int) -> DataFrame:
+    """Pairs (u, v) that may reach the similarity, from meetings (a, b) of members (c, n) in lists.
+
+    Two sets whose prefixes share k shingles have at most k + max(n - p(n), m - p(m)) in common, p being the prefix's length:
+    beyond the prefix that ends first, every common shingle is one of the rest of its set. Light pairs met in a subset.
+    """
+    counted = met.where(_fits("a.n", "b.n")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("k"))
+    rest = f"greatest(ceil({PART} * x.n / {WHOLE}), ceil({PART} * y.n / {WHOLE})) - 1"
+    enough = f"k >= ceil({PART} * (x.n + y.n) / {PART + WHOLE}) - ({rest}) or greatest(x.n, y.n) <= {boundary}"
+    return counted.where(enough).select(F.col("x.c").alias("u"), F.col("y.c").alias("v"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of classes whose sets reach the similarity."""
     one = pairs.join(sets.select(F.col("c").alias("u"), F.col("s").alias("s_u")), "u")
@@ -248,9 +257,9 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).select("c", "n", "small").distinct()
     boundary = boundary_by_cost(small)
 
-    postings = _postings(docs, [(r["h"], r["k"]) for r in frequent.collect()], boundary, collisions).distinct()
+    postings = _postings(docs, [(r["h"], r["k"]) for r in frequent.collect()], boundary, collisions).repartition("t").distinct()  # one shuffle serves the lists as well
     w = Window.partitionBy("t")
-    lists = postings.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("t", "c", "n", "left")
+    lists = postings.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("t", "c", "n")
     lists = store(lists, root, "lists")
 
     wanted = lists.select("c").distinct().join(classes, "c").select(F.col("c").alias("wanted"), "first")
@@ -278,20 +287,18 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
             now = lists.withColumn("g", F.col("c"))
         else:
             # Only lists that still hold several components.
-            now = lists.join(label, lists.c == label.node, "left").select("t", "c", "n", "left", F.coalesce("label", "c").alias("g"))
-            now = now.withColumn("lo", F.min("g").over(w)).withColumn("hi", F.max("g").over(w)).where("lo <> hi").select("t", "c", "n", "left", "g")
-        enough = f"1 + least(a.left, b.left) >= ceil({PART} * (a.n + b.n) / {PART + WHOLE})"
+            now = lists.join(label, lists.c == label.node, "left").select("t", "c", "n", F.coalesce("label", "c").alias("g"))
+            now = now.withColumn("lo", F.min("g").over(w)).withColumn("hi", F.max("g").over(w)).where("lo <> hi").select("t", "c", "n", "g")
         if k < HUB_ROUNDS:
-            hub = F.struct(F.xxhash64("c", F.lit(k)).alias("draw"), "c", "n", "g", "left")
-            met = now.withColumn("hub", F.min(hub).over(w)).where("hub.g <> g").where(_fits("n", "hub.n")).where(f"1 + least(left, hub.left) >= ceil({PART} * (n + hub.n) / {PART + WHOLE})")
-            pairs = met.select(F.least("c", "hub.c").alias("u"), F.greatest("c", "hub.c").alias("v")).distinct()
+            hub = F.struct(F.xxhash64("c", F.lit(k)).alias("draw"), "c", "n", "g")
+            met = now.withColumn("hub", F.min(hub).over(w)).where("hub.g <> g").select(F.struct("c", "n").alias("a"), F.struct("hub.c", "hub.n").alias("b"))
         else:
             now = store(now, root, "rest")
             place = F.row_number().over(Window.partitionBy("t", "g").orderBy("c"))
-            chunks = now.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "g", "chunk").agg(F.collect_list(F.struct("c", "n", "left")).alias("m"))
-            a, b = chunks.select("t", F.col("g").alias("g1"), F.col("m").alias("m1")), chunks.select("t", F.col("g").alias("g2"), F.col("m").alias("m2"))
-            met = a.join(b, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
-            pairs = met.where(_fits("a.n", "b.n")).where(enough).select(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct()
+            chunks = now.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "g", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
+            one, two = chunks.select("t", F.col("g").alias("g1"), F.col("m").alias("m1")), chunks.select("t", F.col("g").alias("g2"), F.col("m").alias("m2"))
+            met = one.join(two, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
+        pairs = _candidates(met, boundary)
         fresh = store(_verified(pairs, sets), root, f"links_{k}")
         found = fresh if found is None else found.union(fresh)
         if k < HUB_ROUNDS:
@@ -315,9 +322,10 @@ def join_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: the smallest print of the text). Rows without words all stay."""
+    kept_id, kept_print = free_name(docs, "kept_id"), free_name(docs, "kept_print")
     spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = join_classes(docs.select("doc_id", "text")).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.print").alias("kept_print"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_print"))
+    first = join_classes(docs.select("doc_id", "text")).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.print").alias(kept_print))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_print))
     kept = docs.where(spoken).join(first.distinct(), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where(~spoken))
 
