@@ -44,7 +44,10 @@ LIGHT = 10
 COUNTED, REPORTED, FREQUENT = 4_000_000, 3, 1 << 18
 #: Members of one component in one list that are handled together in the last round.
 CHUNK = 256
-HUB_ROUNDS = 2
+#: Rounds of hubs at most; they end when a round finds fewer new links than this share of all found.
+HUB_ROUNDS, FEW_LINKS = 4, 0.005
+#: Classes whose sets are fetched by broadcasting their ids (8 bytes and a document's id each); more are shuffled.
+BROADCAST_CLASSES = 200_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANK = np.zeros(256, bool)
@@ -242,6 +245,47 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.where(f"{WHOLE} * x >= {PART} * (both - x)").select("u", "v")
 
 
+def _hubs(now: DataFrame, k: int) -> DataFrame:
+    """Every member of a list (t, c, n, component g) with the list's hub of round k, if that is of another component."""
+    hub = F.struct(F.xxhash64("c", F.lit(k)).alias("draw"), "c", "n", "g")
+    met = now.withColumn("hub", F.min(hub).over(Window.partitionBy("t"))).where("hub.g <> g")
+    return met.select(F.struct("c", "n").alias("a"), F.struct("hub.c", "hub.n").alias("b"))
+
+
+def _rest(now: DataFrame, root: str) -> DataFrame:
+    """All pairs of members of different components of a list; members of one component stand together in chunks."""
+    now = store(now, root, "rest")
+    place = F.row_number().over(Window.partitionBy("t", "g").orderBy("c"))
+    chunks = now.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "g", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
+    one, two = chunks.select("t", F.col("g").alias("g1"), F.col("m").alias("m1")), chunks.select("t", F.col("g").alias("g2"), F.col("m").alias("m2"))
+    return one.join(two, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFrame:
+    """c and s (its shingles) for the wanted classes (c, and first: a document of each)."""
+    wanted = wanted.select(F.col("c").alias("wanted"), "first")
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in steps(batch, 0):
+                keep, out = [], []
+                for want, s in zip(part.column(1).to_pylist(), shingle_sets(part.column(0).to_pylist())):
+                    p1, p2 = prints(s)
+                    if (p2 if p1 in collisions else p1) == want and want not in seen:
+                        seen.add(want)
+                        keep.append(want)
+                        out.append(s)
+                offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], ["c", "s"])
+
+    return chosen.mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"])
+
+
 def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, print, n, c), classes (c, first: its smallest id) and enough verified links (u, v) between classes to connect all that are linked."""
     made = store(_sets(docs), root, "sets")
@@ -262,47 +306,30 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lists = postings.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("t", "c", "n")
     lists = store(lists, root, "lists")
 
-    wanted = lists.select("c").distinct().join(classes, "c").select(F.col("c").alias("wanted"), "first")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted["first"])).select("text", "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, 0):
-                keep, out, seen = [], [], set()
-                for want, s in zip(part.column(1).to_pylist(), shingle_sets(part.column(0).to_pylist())):
-                    p1, p2 = prints(s)
-                    if (p2 if p1 in collisions else p1) == want and want not in seen:
-                        seen.add(want)
-                        keep.append(want)
-                        out.append(s)
-                offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], ["c", "s"])
-
-    sets = store(chosen.mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"]), root, "wanted")
-
-    found, label = None, None
-    for k in range(HUB_ROUNDS + 1):
+    w_t, label, sets, n_found, k, last = Window.partitionBy("t"), None, None, 0, 0, False
+    while True:
         if label is None:
             now = lists.withColumn("g", F.col("c"))
         else:
             # Only lists that still hold several components.
             now = lists.join(label, lists.c == label.node, "left").select("t", "c", "n", F.coalesce("label", "c").alias("g"))
-            now = now.withColumn("lo", F.min("g").over(w)).withColumn("hi", F.max("g").over(w)).where("lo <> hi").select("t", "c", "n", "g")
-        if k < HUB_ROUNDS:
-            hub = F.struct(F.xxhash64("c", F.lit(k)).alias("draw"), "c", "n", "g")
-            met = now.withColumn("hub", F.min(hub).over(w)).where("hub.g <> g").select(F.struct("c", "n").alias("a"), F.struct("hub.c", "hub.n").alias("b"))
-        else:
-            now = store(now, root, "rest")
-            place = F.row_number().over(Window.partitionBy("t", "g").orderBy("c"))
-            chunks = now.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "g", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
-            one, two = chunks.select("t", F.col("g").alias("g1"), F.col("m").alias("m1")), chunks.select("t", F.col("g").alias("g2"), F.col("m").alias("m2"))
-            met = one.join(two, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
-        pairs = _candidates(met, boundary)
+            now = now.withColumn("lo", F.min("g").over(w_t)).withColumn("hi", F.max("g").over(w_t)).where("lo <> hi").select("t", "c", "n", "g")
+        pairs = store(_candidates(_rest(now, root) if last else _hubs(now, k), boundary), root, f"pairs_{k}")
+        wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("c"), "c", "left_anti")
+        got = store(_fetched(docs, store(wanted.join(classes, "c"), root, f"wanted_{k}"), collisions), root, f"sets_{k}")
+        sets = got if sets is None else sets.union(got)
         fresh = store(_verified(pairs, sets), root, f"links_{k}")
-        found = fresh if found is None else found.union(fresh)
-        if k < HUB_ROUNDS:
-            label = components(found, root, f"label_{k}")
+        # Earlier links are kept as the stars of their components.
+        found = fresh if label is None else fresh.union(label.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        if last:
+            break
+        new = fresh.count()
+        n_found += new
+        label = components(found, root, f"label_{k}")
+        k += 1
+        last = k >= HUB_ROUNDS or new <= FEW_LINKS * n_found
     return rows.select("doc_id", "print", "n", "c"), classes, found
 
 
