@@ -1,7 +1,8 @@
 """Personal data: detection, and keyed surrogates that keep type, script, gender and format.
 
-Detected: e-mail addresses, phone numbers, payment cards, bank accounts (IBAN), social security numbers, IPv4 and IPv6
-addresses, and people named after a title. A surrogate is a keyed permutation without fixed points of all values of the same
+Detected: e-mail addresses, phone numbers (international, and national ones with separators), payment cards, bank accounts
+(IBAN), social security numbers, IPv4 and IPv6 addresses (compressed ones too), and people named after a title, with all parts
+of the name. A surrogate is a keyed permutation without fixed points of all values of the same
 format: digits stay digits, letters keep case and script (and vowels stay vowels), separators stay, octets stay octets,
 check digits are recomputed. Known given names are exchanged within their gender and script. A permutation keeps different
 entities different and one entity the same everywhere (an e-mail's case and a phone's punctuation don't matter). The
@@ -15,7 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +44,32 @@ GENDER_OF = {n: k for k, names in GIVEN.items() for n in names}
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιου", "βγδζθκλμνξπρστφχψ", "áéíóú", "äöü", "àèù", "âêîôû"]
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 
+# Small words inside a name: the capitalised part after them belongs to it. Words that join two people are no name.
+PARTICLES = set("von van der den de del della di da do dos du la le les el al bin ben ibn bint abu zu zum zur ter ten af av y e i и фон де".split())
+JOINS = "and|und|et|y|и"
+
 KINDS = ("email", "iban", "card", "phone", "ssn", "ipv6", "ipv4", "person")
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+_GAP = r"[^\S\r\n]+"
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x483, 0x487), (0x591, 0x5BD), (0x5BF, 0x5C7), (0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6DC), (0x6DF, 0x6E8), (0x6EA, 0x6ED), (0x711, 0x711), (0x730, 0x74A), (0x200C, 0x200D))) + "".join(c for c in map(chr, range(0x750, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc"))
+#: Letters with their combining marks; a part of a name is initials (J.R.), or words with apostrophes and hyphens but no 's.
+WORD = rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*+"
+_PART = rf"(?:[^\W\d_]\.(?:-?[^\W\d_]\.)*+|{WORD}(?:['’ʼ‐‑-](?!s(?!\w)){WORD})*+(?!\w))"
+NEXT = re.compile(rf"{_GAP}(?!(?:{_TITLE}|{JOINS})(?!\w))(?P<part>{_PART})|(?<=\.)(?P<close>{WORD})(?!\w)")
+WORDS = re.compile(WORD)
+_HEX = "[0-9A-Fa-f]{1,4}"
 DETECT = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})"
     r"|(?<![\w.])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w.+-])(?P<ipv4>(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3})(?!\.?\d|\w)"
     r"|(?<![\w.+-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w.+-])(?P<card>[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\w-])"
-    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])"
-    r"|(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])"
-    r"|\b(?:" + _TITLE + r")\.? (?P<person>[^\W\d_]{2,30}(?:[ -][^\W\d_]{2,30})?)(?!\w)"
+    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}"
+    r"|(?<![/-])(?:\(0\d{1,5}\)|0\d{1,5}(?=[ ./-]))(?:[ ./-]?\d{2,8}){1,5})(?![\w-])"
+    r"|(?<![\w:])(?P<ipv6>(?:" + _HEX + r":){7}" + _HEX + r"|(?:" + _HEX + r"(?::" + _HEX + r"){0,6})?::(?:" + _HEX + r"(?::" + _HEX + r"){0,6})?)(?![\w:]|\.\d)"
+    rf"|\b(?:(?:{_TITLE})\.?{_GAP})+(?!(?:{_TITLE}|{JOINS})(?!\w))(?P<person>{_PART})"
 )
-QUICK = re.compile(r"@|\d\D?\d|:[0-9a-fA-F]|\b(?:" + _TITLE + r")\.? ")
+QUICK = re.compile(rf"@|\d\D?\d|:[0-9a-fA-F]|::|\b(?:{_TITLE})\.?{_GAP}")
 
 
 def luhn(digits: str) -> int:
@@ -64,6 +81,24 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+@cache
+def _letters() -> dict[str, str]:
+    """The alphabet of every letter that ALPHABETS lacks: letters of its script, case and kind, so that each has another one."""
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for c in map(chr, range(0xAA, 0x33480)):
+        if c.isalpha() and c not in ALPHABET_OF and c == c.lower():
+            back = len(c.upper()) == 1 and c.upper().lower() == c
+            x = ord(c)
+            groups[unicodedata.name(c, "?").split()[0], unicodedata.category(c), back, bool(unicodedata.decomposition(c)), x < 0x180, x >= 0x4E00, x >> 16].append(c)
+    alone = "".join(sorted(g[0] for g in groups.values() if len(g) == 1))
+    return {c: a for g in groups.values() for a in ["".join(g) if len(g) > 1 else alone] for c in g}
+
+
+def alphabet(c: str) -> str | None:
+    """The letters that one of a lower-case text is exchanged for."""
+    return ALPHABET_OF.get(c) or (_letters().get(c) if not c.isascii() and c.isalpha() else None)
+
+
 class Surrogates:
     """Keyed surrogates of one key."""
 
@@ -105,11 +140,12 @@ class Surrogates:
 
     def characters(self, text: str, tweak: str, fixed: int = 0) -> str:
         """Letters and digits of a lower-case text exchanged within their class; the first ``fixed`` and all others stay."""
-        at = [i for i, c in enumerate(text) if i >= fixed and (c.isascii() and c.isdigit() or c in ALPHABET_OF)]
+        of = [("0123456789" if c.isascii() and c.isdigit() else alphabet(c)) if i >= fixed else None for i, c in enumerate(text)]
+        at = [i for i, a in enumerate(of) if a]
         if not at:
             return text
-        shape = "".join("9" if c.isdigit() else c if c not in ALPHABET_OF else ALPHABET_OF[c][0] for c in text)
-        new = self.symbols([text[i] for i in at], ["0123456789" if text[i].isdigit() else ALPHABET_OF[text[i]] for i in at], f"{tweak}|{shape}")
+        shape = "".join("9" if c.isdigit() else a[0] if (a := alphabet(c)) else c for c in text)
+        new = self.symbols([text[i] for i in at], [of[i] for i in at], f"{tweak}|{shape}")
         out = list(text)
         for i, c in zip(at, new):
             out[i] = c
@@ -123,7 +159,7 @@ class Surrogates:
         return f"{self.characters(local, 'local')}@{kept}.{last}"
 
     def digits(self, norm: str, tweak: str, first: str = "0123456789") -> str:
-        head = first if norm[0] in first else "0123456789"
+        head = first if norm[0] in first else "".join(d for d in "0123456789" if d not in first)
         return "".join(self.symbols(list(norm), [head, *["0123456789"] * (len(norm) - 1)], tweak))
 
     def card(self, norm: str) -> str:
@@ -158,9 +194,9 @@ class Surrogates:
         if kind == "email":
             return self.email(norm)
         if kind == "person":
-            return re.sub(r"[^\W\d_]+", lambda m: self.name(m[0]), norm)
+            return WORDS.sub(lambda m: self.name(m[0]), norm)
         if kind == "phone":
-            code = 1 if norm.startswith("1") and len(norm) == 11 else max(0, len(norm) - 10) if len(norm) > 10 else 0
+            code = 1 if norm.startswith("1") and len(norm) == 11 else max(0, len(norm) - 10) if len(norm) > 10 else int(norm.startswith("0"))
             rest = norm[code:]
             return norm[:code] + self.digits(rest, f"phone{norm[:code]}", "23456789")
         if kind == "ipv6":
@@ -192,11 +228,43 @@ def dressed(kind: str, text: str, new: str) -> str:
     return "".join(next(rest) if (c.isdigit() if kind != "iban" else c != " ") else c for c in text)
 
 
+def sound(kind: str, text: str) -> bool:
+    """Whether a match is an entity: national phones have 9 to 13 digits and are no dates, a compressed address has up to 7 groups."""
+    if kind == "phone" and text.lstrip("(").startswith("0"):
+        return 9 <= sum(map(str.isdigit, text)) <= 13 and not re.match(r"\d\d([./-])\d\d\1\d{4}", text)
+    return kind != "ipv6" or "::" not in text or 0 < sum(map(bool, text.split(":"))) <= 7
+
+
+def name_end(text: str, end: int) -> int:
+    """Where a name ends whose first part ends at ``end``.
+
+    The second part may be any word, every further one is capitalised, an initial, of a script without case, or a particle
+    before such a part. Line ends, other punctuation, titles and digits end a name.
+    """
+    at, n = end, 1
+    while m := NEXT.match(text, at):
+        part, at = m[m.lastgroup], m.end()
+        bare = part.rstrip(".")
+        if not part[0].islower() or n == 1 and len(bare) > 1:
+            end, n = at, n + 1
+        elif part.lower() not in PARTICLES:
+            break
+    return end
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """Spans and kinds of the entities of a text, in order, without overlaps."""
     if not text or not QUICK.search(text):
         return []
-    return [(*m.span(m.lastgroup), m.lastgroup) for m in DETECT.finditer(text)]
+    out, at = [], 0
+    while m := DETECT.search(text, at):
+        kind, (a, b) = m.lastgroup, m.span(m.lastgroup)
+        if not sound(kind, m[kind]) or kind == "person" and len(m[kind]) == 1 and m[kind].islower():
+            at = a + 1
+            continue
+        at = b = name_end(text, b) if kind == "person" else b
+        out.append((a, b, kind))
+    return out
 
 
 def replace(text: str | None, s: Surrogates) -> tuple[str | None, list[tuple[int, int, str, str, str]]]:

@@ -54,6 +54,30 @@ def test_names_keep_gender_and_script():
     assert pii.GENDER_OF[peter] == ("m", "LATIN") and pii.GENDER_OF[maria] == ("f", "CYRILLIC")
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [("Dr. John Fitzgerald Kennedy, x", "John Fitzgerald Kennedy"), ("Herr Hans-Peter Müller, x", "Hans-Peter Müller"), ("Mr. J. R. R. Tolkien, x", "J. R. R. Tolkien"), ("Mr O'Neil, x", "O'Neil"), ("Ms D'Angelo, x", "D'Angelo"), ("Mr Rip van der Berg came", "Rip van der Berg"), ("Herr Dr. Jones, x", "Jones"), ("Mrs. Smith's house", "Smith"), ("Mr and Mrs Smith, x", "Smith"), ("Dr 王伟, x", "王伟"), ("Dr. محمد علي, x", "محمد علي"), ("Dr राजेश कुमार, x", "राजेश कुमार"), ("Sra Ñúñez, x", "Ñúñez")],
+)
+def test_whole_names_go(text, name):
+    new, found = pii.replace(text, S)
+    assert [text[a:b] for a, b, *_ in found] == [name]
+    assert not set(re.findall(r"[^\W\d_]{2,}", name)) - {"van", "der"} & set(re.findall(r"[^\W\d_]+", new))
+
+
+def test_every_script_has_other_letters():
+    for script in ("王伟李娜张敏", "محمدعلي", "रजशकम", "김철수박영", "さとうけん", "ñçßøł", "ёйъьэ"):
+        words = {a + b for a in script for b in script}
+        got = {S.of("person", w) for w in words}
+        assert len(got) == len(words) and all(S.of("person", w) != w for w in words)
+
+
+@pytest.mark.parametrize("text", ["2001:db8::1", "::1", "fe80::1:2", "555.123.4567", "(030) 1234 567", "030 1234567", "06 12 34 56 78", "(555)123-4567"])
+def test_short_addresses_and_national_phones(text):
+    new, found = pii.replace(f"x {text}, y", S)
+    assert len(found) == 1 and found[0][:2] == (2, 2 + len(text)) and text not in new and pii.detect(new)
+    assert not pii.detect("std::vector 10:20:30 on 01-02-2024 12 and 01/02/2024 10:30")
+
+
 def test_pii_on_odd_tables(spark):
     texts = odd_texts() + ["a.b@c.com 10.20.30.40", "a.b@c.com 4619646426088949", "version 1.2.3 at 10:20:30, 3.14, 2024-05-06"]
     df = frame(spark, texts, extra=[*CLASHING, "entities"])
