@@ -138,6 +138,28 @@ def test_secrets_and_look_alikes(spark, forest):
     assert out[len(hits) + len(none)].secrets == [] and secret_scan.scan(df.limit(0), forest).count() == 0
 
 
+@pytest.mark.parametrize("value", ["hunter2", "correcthorsebatterystaple", "abcDEFghiJKLmnoPQRstu", "p@ssw0rd123456!", *["".join(np.random.default_rng(n).choice(list("abcdefghKLMNOPQRSTUV0123456789"), n)) for n in (513, 600, 1500)]])
+def test_assigned_values_of_any_form_and_length(forest, value):
+    text = f'x = 1; password = "{value}", y'
+    at = text.index(value)
+    assert (at, at + len(value)) in secret_scan.candidates(text)
+    assert forest.predict(np.array([secret_scan.features(text, at, at + len(value))]))[0] >= secret_scan.THRESHOLD
+    bare = f"password={value} x"
+    assert (9, 9 + len(value)) in secret_scan.candidates(bare)
+
+
+def test_harmless_assigned_values(forest):
+    for text in ("password = self.password", "the key: nobody knew", "monkey: banana", "token = get_token()", 'password: "your-password"', "password=changeme"):
+        spans = secret_scan.candidates(text)
+        assert spans and (forest.predict(np.array([secret_scan.features(text, a, b) for a, b in spans])) < secret_scan.THRESHOLD).all()
+
+
+def test_overlapping_secrets_count_once():
+    spans = lambda *p: [{"start": a, "end": b, "score": 1.0} for a, b in p]
+    assert secret_scan.outermost(spans((0, 5), (0, 9), (3, 9), (9, 12))) == spans((0, 9), (9, 12))
+    assert [("a?key=1&password=hunter2"[a:b]) for a, b in secret_scan.candidates("a?key=1&password=hunter2")] == ["1", "hunter2"]
+
+
 def test_planted_secrets_are_found(spark):
     got = {r.doc_id: r for r in secret_scan.op5_secret_scan(spark, "/root/testdata/sf0.01").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
