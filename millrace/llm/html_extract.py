@@ -5,6 +5,8 @@ classifier, trained on a bounded sample of pages whose landmark elements label t
 content or as boilerplate; the prices become terminal capacities. Neighbouring blocks, and blocks close in the tree, are
 joined by smoothness edges. The minimum cut (an exact reduction first, then augmenting paths) separates the two kinds.
 
+Formulas and xmp texts are text like any other; svg drawings and annotations of formulas are not.
+
 Null and empty pages, and pages without text, give the empty text. Unclosed elements, comments, scripts and quotes end
 with the page. Equal costs leave a block out of the content. Rows keep all their columns, repeated rows equal results.
 """
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 from .common import steps, stratified, table, with_field, without
 
 # Kinds of HTML elements.
-BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = set("audio canvas datalist head iframe math noscript object select svg template textarea title video".split())
+BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
+HIDDEN_TAGS = set("annotation annotation-xml audio canvas datalist head iframe noscript object select svg template textarea title video".split())
 VOID_TAGS = set("area base br col embed hr img input keygen link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"button", "label", "option", "optgroup", "body", "html"}
 BOILERPLATE_TAGS = set("aside button dialog footer form menu nav search".split())
@@ -37,7 +39,7 @@ BOILERPLATE_WORDS = set("ad ads adbox adsense advert adverts advertisement alert
 CONTENT_WORDS = set("article articlebody body content entry main page post story text".split())
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|xmp)\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b((?:[^>"']++|"[^"]*"|'[^']*')*+)>.*?(?:</\1\s*>|\Z)|<xmp\b((?:[^>"']++|"[^"]*"|'[^']*')*+)>(.*?)(?:</xmp\s*>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -129,10 +131,18 @@ def blocks(page: str) -> list[Block]:
         if top.link:
             linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
+    def foreign() -> bool:
+        node = top
+        while node is not None and node.tag not in ("svg", "math"):
+            node = node.parent
+        return node is not None
+
+    while m := TOKEN.search(page, at):
         said(page[at : m.start()])
         at = m.end()
-        slash, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if m[1] and m[2].endswith("/") and foreign():  # an empty element there; in HTML the slash means nothing
+            at = m.end(2) + 1
+        slash, tag, attributes = ("", "xmp", m[3]) if m[4] is not None else (m[5], m[6], m[7]) if m[6] else (m[8], m[9], m[10])
         if not tag:
             continue
         tag = tag.lower()
@@ -159,6 +169,10 @@ def blocks(page: str) -> list[Block]:
                     top = node.parent
             if not attributes.endswith("/") or tag in BLOCK_TAGS:
                 top = _open(tag, attributes, top)
+            if m[4] is not None:
+                said(html.escape(m[4]))
+                end()
+                top = top.parent
     said(page[at:])
     end()
     return out
@@ -170,7 +184,7 @@ def features(found: list[Block]) -> np.ndarray:
         n, t = len(b.text), b.node
         heading = len(t.tag) == 2 and t.tag[0] == "h" and t.tag[1].isdigit()
         ends = b.text.count(". ") + b.text.count("? ") + b.text.count("! ") + b.text.endswith((".", "?", "!"))
-        rows.append((1, t.bad, t.bad_word, t.header, t.article, t.main, t.good_word, t.tag == "p", heading, t.tag in ("li", "dd", "dt"), t.tag in ("td", "th"), t.tag in ("blockquote", "pre"), math.log1p(n) / 4, min(1.0, b.linked / max(1, n)), min(1.0, ends / 3), n < 25, "©" in b.text))
+        rows.append((1, t.bad, t.bad_word, t.header, t.article, t.main, t.good_word, t.tag == "p", heading, t.tag in ("li", "dd", "dt"), t.tag in ("td", "th"), t.tag in ("blockquote", "pre", "xmp"), math.log1p(n) / 4, min(1.0, b.linked / max(1, n)), min(1.0, ends / 3), n < 25, "©" in b.text))
     return np.array(rows, float).reshape(len(rows), len(PRIOR))
 
 

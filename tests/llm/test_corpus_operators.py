@@ -188,6 +188,20 @@ def test_page_main_text():
     assert html_extract.extract_text("<p>Just one paragraph with some words. Another sentence.</p>", html_extract.PRIOR) != ""
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three four.</p></article>', ["one two", "three four."]),
+        ('<article><p>one <svg><title/><style/><text>no</text></svg> two</p><p>three.</p></article>', ["one two", "three."]),
+        ("<article><p>a <svg><g> unclosed</p><p>more text.</p></article>", ["a", "more text."]),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p></article>", ["if x=1 then"]),
+        ("<article><p>see</p><xmp>a <b> &amp; b</xmp><p>after</p></article>", ["see", "a <b> &amp; b", "after"]),
+    ],
+)
+def test_drawings_formulas_and_raw_text(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
 def test_minimum_cut_is_the_cheapest():
     r = random.Random(2)
     for _ in range(150):
