@@ -10,7 +10,9 @@ Texts become sets of word shingles (64-bit fingerprints). Equal sets form one cl
 The boundary is the one of least cost, measured on the lists that the small sets themselves make. Corpus-wide counts put
 frequent shingles last in the order, so that common passages open no lists.
 
-Lists may hold huge groups of near copies. Hence lists are scanned in rounds: first every member meets one hub of its list,
+By default every candidate pair of classes is verified, so ``links`` has every link between different sets and ``join_links``
+counts each row's. In a group of near copies their number is quadratic. Where only components matter, ``spanning=True`` is the
+shortcut: lists are scanned in rounds. First every member meets one hub of its list,
 and verified links join classes into components; then only pairs of different components within a list remain, and all of
 them are verified. Every link between sets whose components are not known to be one is thus found, and none is guessed.
 
@@ -261,6 +263,15 @@ def _rest(now: DataFrame, root: str) -> DataFrame:
     return one.join(two, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
 
 
+def _all(lists: DataFrame) -> DataFrame:
+    """All pairs of members (c, n) of a list; chunks of members meet, so that a huge list is no single group."""
+    place = F.row_number().over(Window.partitionBy("t").orderBy("c"))
+    chunks = lists.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
+    one, two = chunks.select("t", F.col("chunk").alias("k1"), F.col("m").alias("m1")), chunks.select("t", F.col("chunk").alias("k2"), F.col("m").alias("m2"))
+    met = one.join(two, "t").where("k1 <= k2").select(F.explode("m1").alias("a"), "m2", "k1", "k2").select("a", F.explode("m2").alias("b"), "k1", "k2")
+    return met.where("k1 < k2 or a.c < b.c").select("a", "b")
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFrame:
     """c and s (its shingles) for the wanted classes (c, and first: a document of each)."""
     wanted = wanted.select(F.col("c").alias("wanted"), "first")
@@ -286,8 +297,11 @@ def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFr
     return chosen.mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"])
 
 
-def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, print, n, c), classes (c, first: its smallest id) and enough verified links (u, v) between classes to connect all that are linked."""
+def links(docs: DataFrame, root: str, spanning: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, print, n, c), classes (c, first: its smallest id) and every verified link (u, v) between classes, once each.
+
+    With ``spanning`` only enough links, or stars in their place, to connect all classes that are linked.
+    """
     made = store(_sets(docs), root, "sets")
     known = made.where("kind = 0")
     twice = known.where("n > 0").groupBy("p1").agg(F.min("p2").alias("a"), F.max("p2").alias("b")).where("a <> b").select("p1").limit(10_001).collect()
@@ -306,6 +320,12 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lists = postings.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("t", "c", "n")
     lists = store(lists, root, "lists")
 
+    if not spanning:
+        pairs = store(_candidates(_all(lists), boundary), root, "pairs")
+        wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+        sets = store(_fetched(docs, store(wanted.join(classes, "c"), root, "wanted"), collisions), root, "linked_sets")
+        return rows.select("doc_id", "print", "n", "c"), classes, store(_verified(pairs, sets), root, "links")
+
     w_t, label, sets, n_found, k, last = Window.partitionBy("t"), None, None, 0, 0, False
     while True:
         if label is None:
@@ -333,25 +353,40 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows.select("doc_id", "print", "n", "c"), classes, found
 
 
-def join_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and print (fingerprint of the text) for every row of ``docs`` (columns doc_id and text)."""
-    root = shared_dir(docs.sparkSession)
-    rows, classes, found = links(docs, root)
+def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, root: str) -> DataFrame:
     label = components(found, root)
     named = classes.join(label, classes.c == label.node, "left").select("c", "first", F.coalesce("label", "c").alias("g"))
     named = store(named, root, "classes")
     lowest = named.groupBy("g").agg(F.min("first").alias("component_id"))
     by_class = store(named.join(lowest, "g").select(F.col("c").alias("class"), "component_id"), root, "named")
-    some = rows.where("n > 0").join(by_class, F.col("c") == F.col("class")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "print")
-    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "print")
+    some = rows.where("n > 0").join(by_class, F.col("c") == F.col("class")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "print", "c")
+    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "print", F.lit(None).cast("long").alias("c"))
     return some.union(none)
 
 
+def join_classes(docs: DataFrame, spanning: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and print (fingerprint of the text) for every row of ``docs`` (columns doc_id and text)."""
+    root = shared_dir(docs.sparkSession)
+    return _named(*links(docs, root, spanning), root).drop("c")
+
+
+def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``join_classes`` with class_id (equal sets) and n_links (other rows that reach the similarity), and all links (u, v) between class ids."""
+    root = shared_dir(docs.sparkSession)
+    rows, classes, found = links(docs, root)
+    size = store(rows.where("n > 0").groupBy("c").agg(F.count("*").alias("members")), root, "sizes")
+    both = found.union(found.select("v", "u")).toDF("class", "other")
+    linked = both.join(size, F.col("other") == F.col("c")).groupBy("class").agg(F.sum("members").alias("linked"))
+    counted = size.join(linked, F.col("c") == F.col("class"), "left").select(F.col("c").alias("class_id"), (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    out = _named(rows, classes, found, root).withColumnRenamed("c", "class_id").join(counted, "class_id", "left")
+    return out.select("doc_id", "n_shingles", "component_id", "print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), found
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: the smallest print of the text). Rows without words all stay."""
     kept_id, kept_print = free_name(docs, "kept_id"), free_name(docs, "kept_print")
     spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = join_classes(docs.select("doc_id", "text")).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.print").alias(kept_print))
+    first = join_classes(docs.select("doc_id", "text"), spanning=True).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.print").alias(kept_print))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_print))
     kept = docs.where(spoken).join(first.distinct(), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where(~spoken))

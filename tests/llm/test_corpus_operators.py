@@ -440,6 +440,30 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch, boundary):
     assert {tuple(r) for r in got} == brute_components(texts) and len(got) == len(texts)
 
 
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_jaccard_join_loses_no_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    texts = near_copies()
+    out, found = jaccard_join.join_links(frame(spark, texts, extra=CLASHING))
+    got = out.collect()
+    sets = [brute_sets(t) for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(j != i and near(s, z) for j, z in enumerate(sets) if z) if s else 0 for i, s in enumerate(sets)}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+    kinds = list({frozenset(s) for s in sets if s})
+    pairs = [frozenset(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) == sum(near(a, b) for a, b in itertools.combinations(kinds, 2))
+
+
+@pytest.mark.parametrize("boundary", [None, 10])
+def test_spanning_links_give_the_same_components(spark, monkeypatch, boundary):
+    if boundary is not None:
+        monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda sizes: boundary)
+    texts = near_copies()
+    got = jaccard_join.join_classes(frame(spark, texts, extra=CLASHING), spanning=True).drop("print").collect()
+    assert {tuple(r) for r in got} == brute_components(texts)
+
+
 def test_jaccard_survivors(spark):
     texts = near_copies()
     want = {c for i, n, c in brute_components(texts) if n} | {i for i, n, c in brute_components(texts) if not n}
