@@ -35,9 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_pii": op2_pii,
         "op3_line_dedup": op3_line_dedup,
-        "op4_html_extraction": op4_html_extraction,
         "op3_line_dedup": OP3_SQL,
         "op6_exact_topk": OP6_SQL,
         "op9_decontamination": OP9_SQL,

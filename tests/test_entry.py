@@ -30,3 +30,9 @@ def test_query_matches_oracle(spark, duck, name):
     want = duck.sql(catalogue.ORACLES[name])
     assert sorted(want.columns) == cols
     assert plain(tuple(r[c] for c in cols) for r in df.collect()) == plain(tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall())
+
+
+def test_oracles_are_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
