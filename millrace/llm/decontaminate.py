@@ -1,10 +1,9 @@
-"""Benchmark decontamination on a positional index of the corpus, in DataFrame functions only.
+"""Benchmark decontamination on the stored word sequences of the corpus, in DataFrame functions only.
 
-The corpus is tokenised once into the shared folder: for every row its token sequence, which holds the postings (term,
-row, position) of all terms. Corpus counts of the benchmark's terms give, for every window of an item, its rarest term;
-only the posting lists of those terms are opened. A posting at position p of a term that is the a-th of its item proposes
-the alignment p - a; the lists of the neighbouring terms, adjusted by their offsets, are intersected with it outwards from
-the rarest term, and runs of a whole window at least are exact phrase matches. ``gap`` over 0 also gives proximity
+The corpus is tokenised once into the shared folder: a forward table, for every row its words in order. No list keyed by term
+is stored; the words of all rows are opened in overlapping segments. Corpus counts of the benchmark's terms give, for every
+window of an item, its rarest term; only these are joined. A word at position p of a term that is the a-th of its item proposes
+the alignment p - a; the neighbouring words in the segment are compared with it outwards from the rarest term, and runs of a whole window at least are exact phrase matches. ``gap`` over 0 also gives proximity
 matches: all terms of a window in any order within window + gap words.
 
 A window is ``window`` consecutive words of an item, or the whole item if it has fewer (but some). Null texts have no
