@@ -7,6 +7,7 @@ A function may be plain, or have ``setup(context)``, ``__call__(state, batch)``
 
 from __future__ import annotations
 
+import copy
 import inspect
 from collections.abc import Callable, Iterator
 
@@ -43,7 +44,7 @@ class Function(Operator):
     name = "function"
 
     def __init__(self, call: Callable | None = None, takes=None, gives=None, instances: int | None = None, on_error="terminate", ports: dict | None = None, name: str | None = None):
-        self._call = call or self
+        self._call, self._args = call or self, {}
         self.takes, self.gives = declaration(takes if takes is not None else getattr(self, "takes", None)), declaration(gives if gives is not None else getattr(self, "gives", None))
         self.instances, self.ports = instances, ports or {}
         if isinstance(on_error, tuple):
@@ -57,6 +58,16 @@ class Function(Operator):
         self._stateful = any(hasattr(self._call, m) for m in ("setup", "finish"))
         self._frame = self._annotated()
 
+    def bind(self, given: dict, origin: Function) -> None:
+        """Run arguments for this copy of ``origin``: ``args`` of the context, and ``self.args`` of a class."""
+        self._args = dict(given)
+        self._call = self if origin._call is origin else origin._call if inspect.isfunction(origin._call) else copy.copy(origin._call)
+        if not inspect.isroutine(self._call) and not inspect.isclass(self._call):
+            try:
+                self._call.args = self._args
+            except AttributeError:  # a built-in callable takes no attributes
+                pass
+
     def _annotated(self) -> str:
         target = self._call if inspect.isfunction(self._call) else type(self._call).__call__
         kinds = [str(v) for v in getattr(target, "__annotations__", {}).values()]
@@ -78,7 +89,7 @@ class Function(Operator):
         return _batches(self._call(*args, batch))
 
     def _state(self):
-        return self._call.setup({"ports": self.ports}) if hasattr(self._call, "setup") else None
+        return self._call.setup({"ports": self.ports, "args": self._args}) if hasattr(self._call, "setup") else None
 
     def plan(self, schema):
         if self.takes is not None:

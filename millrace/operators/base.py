@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from ..arguments import Deferred
 from ..errors import PlanError
 from ..session import column, prepare
 
@@ -16,7 +17,7 @@ VERSION = 1
 Env = dict[str, Column]
 
 
-class Operator:
+class Operator(Deferred):
     """One transformation. ``plan`` gives the output schema without running; ``apply`` builds the DataFrame."""
 
     name = ""

@@ -11,6 +11,7 @@ noise (Laplace noise of scale sensitivity / epsilon on a column, charged to a bu
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -159,8 +160,8 @@ class Contract:
         ok = {r.get("name", f"assert_{i}"): Expression(r["expr"]).value(ctx) for i, r in enumerate(self._of("assert"))}
         return {n: ~F.coalesce(c, F.lit(False)) if isinstance(c, Column) else F.lit(not c) for n, c in ok.items()}
 
-    def read(self, spark: SparkSession, caller: dict) -> DataFrame:
-        """What the caller may see."""
+    def read(self, spark: SparkSession, caller: dict, watch: Observation | None = None) -> DataFrame:
+        """What the caller may see. ``watch`` gets the number of rows that each rule leaves out (a row that breaks several counts for each)."""
         prepare(spark)
         for r in self._of("decide"):
             if not Expression(r["expr"]).value(caller):
@@ -170,6 +171,9 @@ class Contract:
             keep = Expression(r["expr"]).value(caller)
             df = df.where(keep if isinstance(keep, Column) else F.lit(bool(keep)))
         fails = self.asserts(caller)
+        dropped = [r.get("name", f"assert_{i}") for i, r in enumerate(self._of("assert")) if r.get("on_fail", "drop") != "deny"]
+        if watch is not None and dropped:
+            df = df.observe(watch, *[F.count_if(fails[n]).alias(n) for n in dropped])
         for i, r in enumerate(self._of("assert")):
             name = r.get("name", f"assert_{i}")
             if r.get("on_fail", "drop") == "deny":
@@ -222,6 +226,42 @@ def find(contracts: list[Contract], name: str) -> Contract:
     raise PlanError(f"no contract named {name!r}")
 
 
+WORD = re.compile(r"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`((?:[^`]|``)+)`|"((?:[^"]|"")+)"|([A-Za-z_]\w*)|([(),.])|\S""", re.S)
+#: Words that end a list of tables.
+ENDS = {"WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "WINDOW", "UNION", "EXCEPT", "INTERSECT", "MINUS", "SELECT", "QUALIFY", "SORT", "CLUSTER", "DISTRIBUTE"}
+
+
+def tables_of(sql: str) -> set[str]:
+    """Names that stand where SQL names a table: after FROM, JOIN or a comma between tables. Texts and comments name nothing."""
+    found, expected, before = set(), False, ""
+    levels = [{"select": False, "tables": False}]  # of parentheses
+    for m in WORD.finditer(sql):
+        quoted, word, mark = m[1] and m[1].replace("``", "`") or m[2] and m[2].replace('""', '"'), m[3], m[4]
+        if quoted is None and word is None and mark is None:
+            expected = expected and m[0].startswith(("--", "/*"))
+            continue
+        upper = "" if quoted else (word or "").upper()
+        if mark == "(":
+            levels.append({"select": False, "tables": expected})
+        elif mark == ")":
+            levels = levels[:-1] or [{"select": False, "tables": False}]
+            expected = False
+        elif mark == ",":
+            expected = levels[-1]["tables"]
+        elif upper == "JOIN" or upper == "TABLE" or upper == "FROM" and levels[-1]["select"] and before != "DISTINCT":
+            levels[-1]["tables"] = expected = True
+        elif upper in ENDS:
+            levels[-1]["tables"] = expected = False
+            levels[-1]["select"] |= upper == "SELECT"
+        elif upper in ("ON", "USING", "LATERAL", "AS"):
+            expected = False
+        elif expected and mark is None:
+            found.add(quoted or word)
+            expected = False
+        before = upper
+    return found
+
+
 class ContractSource(Input):
     """Reads a contract, or SQL over contracts (exactly one of them), as a caller."""
 
@@ -231,17 +271,30 @@ class ContractSource(Input):
         if (contract is None) == (sql is None):
             raise PlanError("exactly one of contract and sql")
         self._contracts, self.contract, self.sql, self.caller = contracts, contract, sql, caller or {}
+        self._watches: dict[str, Observation] = {}
+
+    def _read(self, spark: SparkSession, c: Contract) -> DataFrame:
+        if any(r["op"] == "assert" and r.get("on_fail", "drop") != "deny" for r in c.rules):
+            self._watches[c.name] = Observation(f"{c.name}-read-{uuid.uuid4().hex}")
+        return c.read(spark, self.caller, self._watches.get(c.name))
+
+    @property
+    def excluded(self) -> dict[str, int]:
+        """After a run: rows that each rule has left out of what was read."""
+        return {f"{name}.{rule}" if len(self._watches) > 1 else rule: n for name, w in self._watches.items() for rule, n in w.get.items() if n}
 
     def places(self):
-        used = [c for c in self._contracts if c.name == self.contract or self.sql and c.name in self.sql]
+        named = {self.contract} if self.sql is None else tables_of(self.sql)
+        used = [c for c in self._contracts if c.name in named]
         return [c.location for c in used if c.location]
 
     def load(self, spark, order=False):
         if self.contract is not None:
-            return find(self._contracts, self.contract).read(spark, self.caller)
+            return self._read(spark, find(self._contracts, self.contract))
         from ..sources.sql import sql
 
-        return sql(spark, self.sql, {c.name: c.read(spark, self.caller) for c in self._contracts if c.name in self.sql})
+        named = tables_of(self.sql)
+        return sql(spark, self.sql, {c.name: self._read(spark, c) for c in self._contracts if c.name in named})
 
 
 class ContractSink(Output):

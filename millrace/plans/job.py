@@ -7,6 +7,7 @@ more than one sink through an opaque function.
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import hashlib
 import re
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..arguments import Argument, resolved, waiting
 from ..errors import ConfigError, EngineError, IoError, PlanError
 from ..functions.udf import Function
 from ..operators.base import Operator
@@ -25,19 +27,12 @@ from ..session import prepare
 from ..shipping import ship
 from ..sinks.base import Output
 from ..sources.base import Input
+from ..storage import drop, stored
 
 NAME = re.compile(r"[A-Za-z0-9_\-.:]{1,128}")
 ARGUMENTS = {"string": str, "int": int, "float": float, "bool": bool, "date": dt.date, "timestamp": dt.datetime}
 
 
-@dataclass(frozen=True)
-class Argument:
-    """A typed run argument; may stand for a task argument."""
-
-    name: str
-    kind: str
-
-
 @dataclass
 class Task:
     name: str
@@ -93,7 +88,7 @@ class Job:
         return name
 
     def barrier(self, after: list[str], before: list[str]) -> None:
-        """Nothing of ``before`` starts until all of ``after`` is done: its inputs are materialised first."""
+        """Nothing of ``before`` starts until all of ``after`` is done: sinks are saved, other tasks' outputs are stored first."""
         self.barriers.append((list(after), list(before)))
 
     def arg(self, name: str, kind: str) -> Argument:
@@ -153,9 +148,9 @@ class Job:
         if not any(isinstance(t.task, Output) for t in self.tasks.values()):
             found.append("no sink")
         plain = lambda p: re.sub(r"^file:(//)?", "", p).rstrip("/")
-        sources = {plain(p): n for n, t in self.tasks.items() if isinstance(t.task, Input) for p in t.task.places()}
+        sources = {plain(p): n for n, t in self.tasks.items() if isinstance(t.task, Input) and not waiting(t.task) for p in t.task.places()}
         for n, t in self.tasks.items():
-            if isinstance(t.task, Output):
+            if isinstance(t.task, Output) and not waiting(t.task):
                 for p in t.task.places():
                     if (s := sources.get(plain(p))) or (s := next((v for k, v in sources.items() if k.startswith(plain(p) + "/")), None)):
                         found.append(f"{n}: writes over its own source {s}")
@@ -165,8 +160,13 @@ class Job:
                 if n not in place:
                     found.append(f"barrier: no task {n!r}")
             above = {n: self._above(n) for n in [*after, *before] if n in place}
-            if any(b in above.get(a, ()) for a in after for b in before):
+            if any(b == a or b in above.get(a, ()) for a in after for b in before):
                 found.append("barrier: a task would have to wait for itself")
+        if not found:
+            try:
+                self._sinks()
+            except PlanError as e:
+                found.append(str(e))
         if spark is not None and not found:
             found += self._schemas(prepare(spark))
         if found:
@@ -182,6 +182,8 @@ class Job:
         found, schemas = [], {}
         for n in self.order():
             t = self.tasks[n]
+            if waiting(t.task):
+                continue
             try:
                 if isinstance(t.task, Input):
                     if t.task.repeatable:
@@ -193,7 +195,8 @@ class Job:
         return found
 
     def digest(self) -> str:
-        parts = [f"{n}|{type(t.task).__name__}|{t.task.fingerprint() if isinstance(t.task, Operator) else ','.join(t.task.places())}|{','.join(t.inputs)}" for n, t in sorted(self.tasks.items())]
+        what = lambda t: repr(t._waiting) if waiting(t) else t.fingerprint() if isinstance(t, Operator) else ",".join(t.places())
+        parts = [f"{n}|{type(t.task).__name__}|{what(t.task)}|{','.join(t.inputs)}" for n, t in sorted(self.tasks.items())]
         return hashlib.sha256("\n".join([self.name, *parts]).encode()).hexdigest()
 
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
@@ -201,6 +204,7 @@ class Job:
         ordered = any(isinstance(t.task, Dedupe) for t in self.tasks.values()) or self._ordered
         out: dict[str, DataFrame] = {}
         numbered_at: dict[str, DataFrame] = {}
+        first = {a for after, _ in self.barriers for a in after}
         for n in self.order():
             t = self.tasks[n]
             if isinstance(t.task, Input):
@@ -209,8 +213,31 @@ class Job:
                 out[n] = self._join(n, out, numbered_at)
             elif isinstance(t.task, Operator):
                 out[n] = self._apply(t.task, [out[i] for i in t.inputs])
+            if n in first and n in out:
+                out[n] = self._keep(out[n], n)
         return out
 
+    #: Tables that a run has stored; None outside of one, where plans are only looked at.
+    _stored: list[DataFrame] | None = None
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if self._stored is None:
+            return df
+        self._stored.append(stored(df, name.replace(":", "_")))
+        return self._stored[-1]
+
+    def _sinks(self) -> list[Task]:
+        """Sinks in the order in which barriers let them be saved."""
+        sinks = [t for t in self.tasks.values() if isinstance(t.task, Output)]
+        waits = {t.name: {a for after, before in self.barriers if ({t.name} | self._above(t.name)) & set(before) for a in after if isinstance(self.tasks[a].task, Output)} for t in sinks}
+        done: list[Task] = []
+        while len(done) < len(sinks):
+            free = [t for t in sinks if t not in done and waits[t.name] <= {d.name for d in done}]
+            if not free:
+                raise PlanError("barriers: sinks wait for one another")
+            done += free
+        return done
+
     @staticmethod
     def _apply(task: Operator, dfs: list[DataFrame]) -> DataFrame:
         """Apply with the hidden order columns carried along where rows keep theirs."""
@@ -242,7 +269,7 @@ class Job:
         top = max(shared, key=self.order().index)
         if top not in numbered_at:
             base = out[top].drop(*[c for c in ORDER if c in out[top].columns])
-            numbered_at[top] = numbered(base)
+            numbered_at[top] = self._keep(numbered(base), f"{n}-rows")  # all branches must see the same numbers
         branch: dict[str, DataFrame] = {top: numbered_at[top]}
 
         def build(m: str) -> DataFrame:
@@ -272,17 +299,17 @@ class Job:
 
     def run(self, spark: SparkSession, ordered: bool = False, **arguments) -> Report:
         """Check, bind arguments, and save every sink; rows are counted by the runs themselves."""
-        self._bind(arguments)
-        self._ordered = ordered
+        return self._bound(arguments)._run(spark, ordered)
+
+    def _run(self, spark: SparkSession, ordered: bool) -> Report:
+        self._ordered, self._stored = ordered, []
         ship(prepare(spark))
         self.check()
-        report, began = Report(self.name, self.digest()), time.time()
-        frames = self.frames(spark)
-        sinks = [t for t in self.tasks.values() if isinstance(t.task, Output)]
-        waiting = {b for _, before in self.barriers for b in before}
-        held = self._persist(frames, sinks)
+        report, began, held = Report(self.name, self.digest()), time.time(), []
         try:
-            for t in sorted(sinks, key=lambda t: t.name in waiting):
+            frames, sinks = self.frames(spark), self._sinks()
+            held = self._persist(frames, sinks)
+            for t in sinks:
                 seen = Observation(f"{self.name}-{t.name}-{time.time_ns()}")
                 df = frames[t.inputs[0]]
                 watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -297,6 +324,13 @@ class Job:
         finally:
             for d in held:
                 d.unpersist()
+            for d in self._stored:
+                drop(d)
+        for t in self.tasks.values():
+            if isinstance(t.task, Input):
+                report.excluded |= getattr(t.task, "excluded", {})
+            if isinstance(t.task, Input) and not t.task.repeatable:
+                report.notes.append(f"{t.name}: not repeatable, another run may read other rows")
         report.seconds = time.time() - began
         return report
 
@@ -308,7 +342,8 @@ class Job:
                 held.append(frames[n].persist())
         return held
 
-    def _bind(self, given: dict) -> None:
+    def _bound(self, given: dict) -> Job:
+        """A copy of the job whose tasks have these arguments; the job itself stays as it is, for other runs."""
         found = [f"no argument {n!r}" for n in given if n not in self.arguments] + [f"argument {n!r} is missing" for n in self.arguments if n not in given]
         for n, v in given.items():
             if n in self.arguments:
@@ -317,10 +352,15 @@ class Job:
                     found.append(f"argument {n!r} must be {self.arguments[n].kind}, not {v!r}")
         if found:
             raise ConfigError("; ".join(found))
-        for t in self.tasks.values():
+        out = copy.copy(self)
+        out.tasks = {n: Task(n, resolved(t.task, given) if waiting(t.task) else copy.copy(t.task), t.inputs) for n, t in self.tasks.items()}
+        for t in out.tasks.values():
             for k, v in list(vars(t.task).items()):
-                if isinstance(v, Argument):
+                if isinstance(v, Argument):  # set on the task after it was built
                     setattr(t.task, k, given[v.name])
+            if isinstance(t.task, Function):
+                t.task.bind(given, t.task if waiting(self.tasks[t.name].task) else self.tasks[t.name].task)
+        return out
 
 
 def _raise(e: Exception, name: str) -> None:

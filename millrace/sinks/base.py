@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..arguments import Deferred
 from ..operators.rows import ORDER
 
 
-class Output:
+class Output(Deferred):
     """A sink task: ``save`` writes all rows or none."""
 
     name = "sink"

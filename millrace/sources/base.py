@@ -6,11 +6,12 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..arguments import Deferred
 from ..errors import IoError, PlanError
 from ..session import column
 
 
-class Input:
+class Input(Deferred):
     """A source task: ``load`` gives a lazy DataFrame; ``places`` are the locations it reads."""
 
     name = "source"
@@ -43,6 +44,12 @@ def files(spark: SparkSession, paths: list[str], suffix: str, directories: bool
     return out
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, escaped as Spark's file metadata has it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
 def as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else [str(p) for p in x]
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..operators.rows import ORDER
 from ..schema import Exact
 from ..session import column
-from .base import Input, as_list, files, in_file_order
+from .base import Input, as_list, files, in_file_order, uri
 
 OPS = {">": "__gt__", "<": "__lt__", "==": "__eq__"}
 
@@ -45,23 +45,29 @@ class ParquetSource(Input):
             if name not in df.columns:
                 raise PlanError(f"filters: no column {name!r}")
             number = df.schema[name].dataType.typeName()
-            if isinstance(value, float) and number in ("byte", "short", "integer", "long") or isinstance(value, int) and not isinstance(value, bool) and number in ("float", "double"):
-                continue  # an integer and a float don't compare in footers: nothing is pruned
             if self.exact:
                 df = df.where(getattr(column(name), OPS[op])(F.lit(value)))
+            elif isinstance(value, float) and number in ("byte", "short", "integer", "long") or isinstance(value, int) and not isinstance(value, bool) and number in ("float", "double"):
+                continue  # an integer and a float don't compare in footers: nothing is pruned
             else:
                 found = self._may_match(df, found, name, op, value)
         if not self.exact and self.filters:
             df = spark.read.schema(first).parquet(*found) if found else spark.createDataFrame([], first)
         if order:
-            rank = F.create_map(*[x for i, f in enumerate(sorted(found)) for x in (F.lit(f.rsplit("/", 1)[-1]), F.lit(i))]) if len(found) <= 1000 else None
-            file = rank[F.col("_metadata.file_name")] if rank is not None else F.col("_metadata.file_path")
-            df = df.withColumns({ORDER[0]: file, ORDER[1]: F.col("_metadata.row_index")})
+            df = df.withColumns({"__path": _plain(F.col("_metadata.file_path")), ORDER[1]: F.col("_metadata.row_index")})
+            ranks = spark.createDataFrame([(i, uri(spark, f)) for i, f in enumerate(found)], f"{ORDER[0]} int, __path string").withColumn("__path", _plain(F.col("__path")))
+            df = df.join(F.broadcast(ranks), "__path").select(*map(column, first.names), *ORDER)  # a row for each file that the driver lists
         return in_file_order(df, self.columns, "columns", ORDER)
 
     @staticmethod
     def _may_match(df: DataFrame, found: list[str], name: str, op: str, value) -> list[str]:
         """Files that hold a row that matches (one distributed pass over that column's statistics and values)."""
-        hit = df.where(getattr(column(name), OPS[op])(F.lit(value))).select(F.col("_metadata.file_name").alias("f")).distinct()
+        hit = df.where(getattr(column(name), OPS[op])(F.lit(value))).select(_plain(F.col("_metadata.file_path")).alias("f")).distinct()
         names = {r[0] for r in hit.collect()}
-        return [f for f in found if f.rsplit("/", 1)[-1] in names]
+        plain = df.sparkSession.createDataFrame([(i, uri(df.sparkSession, f)) for i, f in enumerate(found)], "i int, f string").select("i", _plain(F.col("f")).alias("f"))
+        return [found[r["i"]] for r in plain.orderBy("i").collect() if r["f"] in names]
+
+
+def _plain(path: Column) -> Column:
+    """One spelling of a file's URI: one slash after the scheme, escapes undone."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/{2,}(?=/)", "$1:"), r"\+", "%2B"))

@@ -277,3 +277,113 @@ def test_streaming_goes_on_from_its_checkpoint(spark, tmp_path):
     df = stream_dedupe(read(spark, str(src), spark.read.parquet(str(src)).schema), ["k"])
     assert drain(df, str(tmp_path / "o"), str(tmp_path / "c")) == 2
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2, 3]
+
+
+def test_parquet_filters_rows_of_other_number_types(spark, tmp_path):
+    pq.write_table(pa.table({"x": [1.0, 2.0, 30.0], "k": [1, 2, 30]}), tmp_path / "a.parquet")
+    assert [r.x for r in ParquetSource(str(tmp_path), filters=[("x", ">", 10)]).load(spark).collect()] == [30.0]
+    assert [r.k for r in ParquetSource(str(tmp_path), filters=[("k", "<", 1.5)]).load(spark).collect()] == [1]
+    assert ParquetSource(str(tmp_path), filters=[("x", ">", 100)], exact=False).load(spark).count() == 3
+
+
+def test_parquet_keeps_the_given_order_of_files(spark, tmp_path):
+    for d, v in (("b one", 1), ("a+two", 2), ("c%three", 3)):
+        (tmp_path / d).mkdir()
+        pq.write_table(pa.table({"id": [v, v + 10]}), tmp_path / d / "part.parquet")
+    df = ParquetSource([str(tmp_path / d) for d in ("b one", "a+two", "c%three")]).load(spark, order=True)
+    assert [r.id for r in df.orderBy(*ORDER).collect()] == [1, 11, 2, 12, 3, 13]
+    some = ParquetSource([str(tmp_path / d) for d in ("b one", "a+two", "c%three")], filters=[("id", ">", 11)], exact=False).load(spark)
+    assert sorted(r.id for r in some.collect()) == [2, 3, 12, 13]
+
+
+class Plus:
+    """A class task that reads a run argument, and one that stands for its own attribute."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def __call__(self, batch):
+        return pa.RecordBatch.from_pydict({"id": pa.compute.add(batch.column(self.column), self.args["by"])})
+
+
+def test_a_job_runs_again_with_other_arguments(spark, folder, tmp_path):
+    job = Job("twice")
+    col, by = job.arg("col", "string"), job.arg("by", "int")
+    src = job.add(ParquetSource(str(folder)))
+    one = job.add(Mask(col), src)
+    one = job.add(Filter(job.arg("keep", "string")), one)
+    two = job.add(Function(Plus("id"), gives={"id": "int64"}), src)
+    job.add(ParquetSink(str(tmp_path / "m")), one, name="m")
+    job.add(ParquetSink(str(tmp_path / "p")), two, name="p")
+    assert by.kind == "int"
+    read_back = lambda n: spark.read.parquet(str(tmp_path / n))
+    for arguments, least in (({"col": "text", "by": 5, "keep": "id >= 2"}, 5), ({"col": "text", "by": 7, "keep": "id >= 3"}, 7)):
+        for n in ("m", "p"):
+            if (tmp_path / n).exists():
+                import shutil
+
+                shutil.rmtree(tmp_path / n)
+        job.run(spark, **arguments)
+        assert read_back("p").agg({"id": "min"}).first()[0] == least and read_back("m").agg({"id": "min"}).first()[0] == int(arguments["keep"][-1])
+    with pytest.raises(PlanError):
+        job.run(spark, col="nope", by=1, keep="id > 1")
+    job.check()
+    assert read_back("m").first().text.startswith("*")
+
+
+def test_join_of_branches_that_filter_pairs_stored_rows(spark, folder, tmp_path):
+    job = Job("pairs")
+    src = job.add(ParquetSource(str(folder)))
+    top = job.add(Function(lambda b: b, gives={"id": "int64", "text": "string"}, name="shuffled"), src)
+    one = job.add(Filter("id > 4"), job.add(Select(["id"]), top))
+    two = job.add(Select(["text"]), job.add(Filter("id > 4"), top))
+    job.add(ParquetSink(str(tmp_path / "o")), job.add(Join(), [one, two]))
+    job.run(spark)
+    assert sorted((r.id, r.text) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == sorted((i, f"row {i % 10 % 7}") for i in range(5, 30))
+
+
+def test_barriers_hold_back_what_comes_after(spark, folder, tmp_path):
+    job, (first, second) = Job("held"), (tmp_path / "first", tmp_path / "second")
+
+    def late(batch):
+        assert (first / "_SUCCESS").exists()
+        return batch
+
+    src = job.add(ParquetSource(str(folder)))
+    held = job.add(Function(late, gives={"id": "int64", "text": "string"}), src)
+    job.add(ParquetSink(str(second)), held, name="second")
+    job.add(ParquetSink(str(first)), src, name="first")
+    job.barrier(["first"], [held])
+    job.run(spark)
+    assert spark.read.parquet(str(second)).count() == 30
+    job.barrier(["second"], ["first"])
+    with pytest.raises(PlanError, match="wait for one another"):
+        job.check()
+    other = Job("stored")
+    src = other.add(ParquetSource(str(folder)))
+    a = other.add(Filter("id > 4"), src)
+    other.add(ParquetSink(str(tmp_path / "a")), a, name="a")
+    other.add(ParquetSink(str(tmp_path / "b")), other.add(Select(["id"]), src, name="s"), name="b")
+    other.barrier([a], ["s"])
+    assert other.run(spark).rows == {"a": 25, "b": 30}
+
+
+def test_sql_over_contracts_reads_the_named_ones_only(spark):
+    df = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    refused = Contract("a", frame=df, rules=[{"op": "decide", "expr": "false"}])
+    good = Contract("data", frame=df, rules=[{"op": "assert", "name": "small", "expr": "row.a < 3"}])
+    source = ContractSource([refused, good], sql="SELECT a, 'FROM a' AS x FROM data -- JOIN a\nWHERE a IN (SELECT a FROM data)")
+    assert [r.a for r in source.load(spark).collect()] == [1]
+    from millrace.plans.contracts import tables_of
+
+    assert tables_of('WITH w AS (SELECT * FROM "x/y") SELECT extract(year FROM ts) FROM w LEFT JOIN `b c` USING (k), d WHERE p IS DISTINCT FROM q') == {"x/y", "w", "b c", "d"}
+    assert tables_of("SELECT * FROM (a JOIN b ON a.x = b.x), (SELECT * FROM c, e) f, g") == {"a", "b", "c", "e", "g"}
+
+
+def test_a_run_counts_what_rules_leave_out(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else i - 2) for i in range(10)], "id long, kwh long")
+    c = Contract("readings", frame=df, rules=[{"op": "assert", "name": "kwh", "expr": "row.kwh >= 0"}, {"op": "assert", "name": "id", "expr": "row.id != 9"}])
+    job = Job("governed")
+    job.add(ParquetSink(str(tmp_path / "o")), job.add(ContractSource([c], contract="readings")))
+    report = job.run(spark)
+    assert report.rows == {"parquet": 6} and report.excluded == {"kwh": 3, "id": 1} and "not repeatable" in report.notes[0]
