@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, exception phrases, scores normalised by length.
 
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full width) and digit substitutions to Latin letters, and treats
-i, l and 1 as one letter. The lexicon is learned from labelled rows: letter sequences far likelier in toxic documents and
-seen in many contexts, weighted by their log odds; phrases around lexicon hits that recur in clean documents only become
-exceptions. A hit inside an exception does not count. The sum of weights over a power of the number of words (the power
+i, l and 1 as one letter; what is no letter then parts words, by one blank. The lexicon is learned from labelled rows: letter
+sequences, with the blanks at a word's ends if they are part of them (so stems, endings and short whole words too), that are
+far likelier in toxic documents and seen in many contexts, weighted by their log odds. Words, and pairs of words, that hold a
+hit and recur in clean documents only become exceptions. A hit inside an exception does not count. The sum of weights over a power of the number of words (the power
 with the least logistic loss) goes through a fitted logistic curve.
 
 Null and empty texts get the score of no hits. Without labelled rows of both classes the score is the toxic share (0 if
@@ -52,7 +53,8 @@ FOLD = _fold_table()
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(FOLD)
+    """Folded words, each between blanks."""
+    return f" {' '.join(WORD.findall(text.lower().translate(FOLD)))} "
 
 
 @dataclass
@@ -68,7 +70,7 @@ class Model:
         for p, w in self.weights.items():
             out.add_word(p, (len(p), w))
         for p in self.exceptions:
-            out.add_word(p, (len(p), None))
+            out.add_word(f" {p} ", (len(p) + 2, None))
         out.make_automaton()
         return out
 
@@ -80,20 +82,20 @@ class Model:
         if not found:
             return 0.0, 1
         spared = sorted((end - n + 1, end) for end, (n, w) in found if w is None)
-        total, last, at = 0.0, -1, 0
+        total, last, at, reach = 0.0, -1, 0, -1
         for begin, end, w in sorted((end - n + 1, end, w) for end, (n, w) in found if w is not None):
-            while at < len(spared) and spared[at][1] < begin:
+            while at < len(spared) and spared[at][0] <= begin:
+                reach = max(reach, spared[at][1])
                 at += 1
-            if begin <= last or any(a <= begin and end <= b for a, b in spared[at : at + 4]):
-                continue
-            total, last = total + w, end
+            if begin > last and end > reach:
+                total, last = total + w, end
         return total, max(1, len(text.split()))
 
     def score(self, total: float, words: int) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * total / words**self.power + self.intercept))))
 
 
-def learn(rows: list[tuple[str, int]], least_share: float = 0.02, ratio: float = 75.0, shortest: int = 4, longest: int = 8) -> Model:
+def learn(rows: list[tuple[str, int]], least_share: float = 0.02, ratio: float = 75.0, shortest: int = 4, longest: int = 9) -> Model:
     """Fit lexicon, exceptions and curve to (text, label) rows."""
     n_toxic, n_clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     if not n_toxic or not n_clean:
@@ -102,7 +104,7 @@ def learn(rows: list[tuple[str, int]], least_share: float = 0.02, ratio: float =
     docs, before, clean_docs = defaultdict(set), defaultdict(set), defaultdict(set)
     texts = [fold(t) for t, _ in rows]
     for i, (t, (_, y)) in enumerate(zip(texts, rows)):
-        words = WORD.findall(t)
+        words = [f" {w} " for w in t.split()]
         if y:
             for a, w in zip(["", *words], words):
                 docs[w].add(i)
@@ -147,16 +149,20 @@ def learn(rows: list[tuple[str, int]], least_share: float = 0.02, ratio: float =
     return model
 
 
-def _exceptions(model: Model, texts: list[str], labels: list[int]) -> None:
-    """Two-word phrases around hits that recur in clean documents and in no toxic one."""
+def _exceptions(model: Model, texts: list[str], labels: list[int], least: int = 2) -> None:
+    """Words with a hit, and such words with a neighbour, that recur in clean documents and are in no toxic one; a pair only where the word alone is none."""
     finder, seen = model.automaton(), {0: defaultdict(int), 1: defaultdict(int)}
+    held: dict[str, bool] = {}
     for t, y in zip(texts, labels):
         if len(finder) and next(finder.iter(t), None):
             words = t.split()
-            hit = [any(p in w for p in model.weights) for w in words]
-            for phrase in {" ".join(words[i : i + 2]) for i in range(len(words) - 1) if hit[i] or hit[i + 1]}:
+            for w in set(words) - held.keys():
+                held[w] = next(finder.iter(f" {w} "), None) is not None
+            hit = [held[w] for w in words]
+            for phrase in {w for w, h in zip(words, hit) if h} | {f"{a} {b}" for a, b, g, h in zip(words, words[1:], hit, hit[1:]) if g or h}:
                 seen[y][phrase] += 1
-    model.exceptions = sorted(p for p, n in seen[0].items() if n >= 3 and not seen[1][p])[:4096]
+    found = {p for p, n in seen[0].items() if n >= least and not seen[1][p]}
+    model.exceptions = sorted(p for p in found if " " not in p or not found.issuperset(w for w in p.split() if held[w]))
 
 
 def _calibrate(model: Model, rows: list[tuple[str, int]]) -> None:
