@@ -1,20 +1,25 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
 Vectors become segments of bounded size. A segment keeps, for every dimension, the list of its vectors sorted by that
-component. A query reads the lists in step, from the end where its products are largest, and keeps for every vector of
-the segment the sum of the products it has read (with the list's worst value for the rest: a lower bound; with the last
-value read: an upper bound). Reading stops once few vectors' upper bounds still reach the k-th best lower bound; their
-final scores are then resolved exactly. Queries come in blocks; every block meets every segment, and the k best of each
-segment are merged per query. The best score so far of the segments a task has already met prunes the next ones.
+component. A query reads every list from the end where its products are largest, one slice of each after the other. It goes
+deeper in the lists that matter to it: a level stops all lists where a component's product falls to one multiple of the
+squared weight. What a vector has been read to give, and that multiple for the lists it was not yet met in, bound its score
+from above. The leaders by this bound are scored, which bounds the k-th best score from below; so does the k-th best of
+the segments that the task has met before. Reading stops once scoring all vectors whose upper bound reaches that costs less
+than the next slices; the others cannot qualify. What is left is scored exactly, in integers.
+
+Queries are sent to the rows in blocks of bounded size, one pass over the rows for each block; every task returns its k best
+for each query. ``reads`` tells how deep the queries read.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part. Only vectors of equal length are
-compared. Components must lie within +-2^28 after scaling (products then fit 64 bits for up to 127 dimensions);
-larger ones raise ValueError. Ties go to the smaller id. Rows with the query's own id are its own row; a query row
-repeated with the same vector counts once, one repeated with another vector raises its own result under the same id.
+compared. Scores must fit 64 bits: larger ones raise ValueError. Ties go to the smaller id. Rows with the query's own id are
+its own row; a query row repeated with the same vector counts once, one repeated with another vector raises its own result
+under the same id.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,145 +30,179 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Vectors of a segment and queries of a block.
-SEGMENT, BLOCK = 4096, 256
-#: Shares of the lists that have been read after each round; a query stops when this share of vectors can still qualify.
-ROUNDS, STOP = (0.2, 0.4, 0.6), 0.04
-
-
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Chunks of up to ``size`` rows of one length as binary columns, packed where the rows are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def full(dim: int, least: int) -> Iterator[pa.RecordBatch]:
-            ids, x = (np.concatenate(z) for z in zip(*held[dim]))
-            while len(ids) >= least and len(ids):
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([min(size, len(ids))], pa.int32()), "ids": [ids[:size].tobytes()], "x": [x[:size].astype(np.int32).tobytes()]})
-                ids, x = ids[size:], x[size:]
-            held[dim] = [(ids, x)]
-
-        for batch in batches:
-            vec, ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            dims = pa.compute.list_value_length(vec).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            begin = np.cumsum(dims) - dims
-            for dim in np.unique(dims):
-                rows_ = np.flatnonzero(dims == dim)
-                x = np.floor(256.0 * flat[begin[rows_][:, None] + np.arange(dim)])
-                if np.abs(x).max(initial=0) > 2**28:
-                    raise ValueError("a component is out of range")
-                held.setdefault(int(dim), []).append((ids[rows_], x.astype(np.int64)))
-                yield from full(int(dim), size)
-        for dim in held:
-            yield from full(dim, 1)
-
-    return rows.mapInArrow(run, "dim int, n int, ids binary, x binary")
+#: Vectors of a segment, and components of a block of queries (8 bytes each, sent to every task of a pass).
+SEGMENT, BLOCK = 8192, 1 << 21
+#: Levels: products are read down to minus this multiple of the squared weight, scaled by the vectors' size. Reading begins
+#: at the first level that opens this share of the lists.
+LEVELS, OPENING = (-1.0, 0.0, 0.25, 0.5, 1.0, 2.0, 4.0), 0.3
 
 
 class Segment:
-    """Vectors with, for every dimension, the sorted list of their components (and each vector's place in it)."""
+    """Vectors (rows of integers) with, for every dimension, the list of their components in order."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, self.wide = ids, x, x.astype(np.float64)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.wide, order, 0)
-        self.place = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], x.shape), 0)
+        self.ids, self.x = ids, x
+        n, dim = x.shape
+        self.order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(x.T, self.order, 1).astype(np.float64)
+        self.most = np.abs(x).max(0, initial=0).astype(np.float64)
+        self.scale = math.sqrt(float((x.astype(np.float64) ** 2).mean())) or 1.0
+        # All lists behind one another, each above the one before: one search finds a place in every list.
+        self.above = np.arange(dim) * (4 * self.most.max(initial=0) + 4)
+        self.flat = (self.values + self.above[:, None]).ravel()
+        self.first = np.arange(dim) * n
+        self.at, self.products = np.empty(n * dim, np.intp), np.empty(n * dim)  # what one query has just read
+
+    def _depths(self, q: np.ndarray, multiple: float) -> np.ndarray:
+        """For every list how many entries have a product over minus ``multiple`` times the squared weight."""
+        n = len(self.ids)
+        limit = np.clip(-multiple * q, -2 * self.most - 1, 2 * self.most + 1)
+        below, upto = (np.searchsorted(self.flat, limit + self.above, side=s) - self.first for s in ("left", "right"))
+        return np.where(q > 0, n - upto, np.where(q < 0, below, 0))
 
-    def bounds(self, q: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores (queries x vectors) after ``upto`` entries of each list have been read.
+    def top(self, query_id: int, q: np.ndarray, k: int, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best (ties to smaller ids) other than the query's own, and the share of the lists that was read.
 
-        A query reads a list from its large end where its own component is positive, else from its small end. An entry not
-        read is worth the list's far end at least and the last entry read at most.
+        Scores below ``floor`` may be left out.
         """
-        n = len(self.ids)
-        high, low = self.place >= n - upto, self.place < upto
-        side = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1)
-        read = lambda a, b: side @ np.concatenate([np.where(high, self.wide, a), np.where(low, self.wide, b)], 1).T
-        return read(self.sorted[0], self.sorted[-1]), read(self.sorted[n - upto], self.sorted[upto - 1])
-
-    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For every query the ids and scores of the k best (ties to smaller ids); scores below its floor may be left out."""
-        n, alive = len(self.ids), [None] * len(q)
-        wide, open_ = q.astype(np.float64), np.arange(len(q))
-        room = 1e-9 * (np.abs(wide) @ np.abs(self.wide).max(0))  # for rounding of the bounds
-        for depth in ROUNDS:
-            if n <= 64 or not len(open_):
+        (n, dim), w = self.x.shape, q.astype(np.float64)
+        weights, size = w * w, math.sqrt(float((w * w).mean()))
+        if float(np.abs(w) @ self.most) >= 2.0**62:
+            raise ValueError("scores do not fit 64 bits")
+        others = np.flatnonzero(self.ids != query_id)
+        room, unit = 1e-9 * float(np.abs(w) @ self.most), self.scale / size if size else 1.0
+        able, done = others, np.zeros(dim, np.int64)
+        levels = LEVELS if size and len(others) > 4 * k else ()
+        depth = None
+        got, seen, unseen = np.zeros(n), np.zeros(n), []
+        for i, level in enumerate(levels):
+            depth = self._depths(w, level * unit) if depth is None else depth
+            deeper = self._depths(w, levels[i + 1] * unit) if i + 1 < len(levels) else np.full(dim, n)
+            if not done.any() and depth.sum() < OPENING * n * dim:  # nothing to tell yet
+                depth = deeper
+                continue
+            if depth.sum() > done.sum():
+                start = 0
+                for j, (a, b) in enumerate(zip(done.tolist(), depth.tolist())):
+                    if b > a:
+                        cut = slice(n - b, n - a) if w[j] > 0 else slice(a, b)
+                        self.at[start : start + b - a] = self.order[j, cut]
+                        np.multiply(self.values[j, cut], w[j], out=self.products[start : start + b - a])
+                        start += b - a
+                got += np.bincount(self.at[:start], self.products[:start], n)
+                unseen.append((done, depth))
+                done = depth
+            upper = got + room
+            if level:
+                for before, after in unseen:
+                    for j in np.flatnonzero(after > before):
+                        seen[self.order[j, slice(n - after[j], n - before[j]) if w[j] > 0 else slice(before[j], after[j])]] += weights[j]
+                unseen.clear()
+                upper -= level * unit * (weights.sum() - seen)
+            leaders = others[np.argpartition(upper[others], len(others) - 2 * k)[len(others) - 2 * k :]]
+            scores = self.x[leaders] @ q
+            bar = max(floor, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
+            able = others[upper[others] >= bar]
+            if len(able) * dim <= (deeper - done).sum():
                 break
-            upto = max(1, math.ceil(depth * n))
-            lower, upper = self.bounds(wide[open_], upto)
-            lower[self.ids == query_ids[open_][:, None]] = -np.inf
-            kth = np.partition(lower, n - min(k, n), 1)[:, n - min(k, n)]
-            bar = np.maximum(kth, floors[open_]) - room[open_]
-            able = upper + room[open_][:, None] >= bar[:, None]
-            few = able.sum(1) <= max(STOP * n, 4 * k)
-            for i in np.flatnonzero(few):
-                alive[open_[i]] = np.flatnonzero(able[i])
-            open_ = open_[~few]
-        out = []
-        for i, left in enumerate(alive):
-            final = (self.x if left is None else self.x[left]) @ q[i]
-            ids = self.ids if left is None else self.ids[left]
-            own = ids != query_ids[i]
-            ids, final = ids[own], final[own]
-            if len(final) > 4 * k:
-                keep = final >= np.partition(final, len(final) - k)[len(final) - k]
-                ids, final = ids[keep], final[keep]
-            best = np.lexsort((ids, -final))[:k]
-            out.append((ids[best], final[best]))
-        return out
+            depth = deeper
+        ids, final = self.ids[able], self.x[able] @ q
+        if len(final) > 4 * k:
+            keep = final >= np.partition(final, len(final) - k)[len(final) - k]
+            ids, final = ids[keep], final[keep]
+        best = np.lexsort((ids, -final))[:k]
+        return ids[best], final[best], float(done.sum()) / max(1, n * dim)
+
+
+def _scaled(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every length of vectors in a batch (id, vector): the length, the ids and the integer components."""
+    vec, ids = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    dims = pa.compute.list_value_length(vec).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begin = np.cumsum(dims) - dims
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        x = np.floor(256.0 * flat[begin[rows][:, None] + np.arange(dim)])
+        if np.abs(x).max(initial=0) >= 2**62:
+            raise ValueError("scores do not fit 64 bits")
+        yield int(dim), ids[rows], x.astype(np.int64)
+
+
+def _clean(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    odd = F.exists(F.col(vector).cast("array<double>"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return df.where(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~odd).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _pass(rows: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """The k best of every task for every query of a block: query_id, print (of its vector), vec_id, score, read."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, held, best = sent.value, {}, {}
+
+        def meet(dim: int) -> None:
+            segment = Segment(*(np.concatenate(z) for z in zip(*held.pop(dim))))
+            q_ids, q_x, _ = queries[dim]
+            for i, (q_id, q) in enumerate(zip(q_ids.tolist(), q_x)):
+                ids, scores, read = best.get((dim, i), (np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0))
+                new_ids, new, share = segment.top(q_id, q, k, float(scores[-1]) if len(scores) == k else -math.inf)
+                ids, scores = np.concatenate([ids, new_ids]), np.concatenate([scores, new])
+                order = np.lexsort((ids, -scores))[:k]
+                best[dim, i] = ids[order], scores[order], max(read, share)
+
+        for batch in batches:
+            for dim, ids, x in _scaled(batch):
+                if dim in queries:
+                    for i in range(0, len(ids), SEGMENT):
+                        held.setdefault(dim, []).append((ids[i : i + SEGMENT], x[i : i + SEGMENT]))
+                        if sum(len(z[0]) for z in held[dim]) >= SEGMENT:
+                            meet(dim)
+        for dim in list(held):
+            meet(dim)
+        for some in [list(best.items())[i : i + 4096] for i in range(0, len(best), 4096)]:
+            n = [len(b[1][0]) for b in some]
+            column = lambda f, kind: np.repeat(np.array([f(*b) for b in some], kind), n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(column(lambda key, _: queries[key[0]][0][key[1]], np.int64)), pa.array(column(lambda key, _: queries[key[0]][2][key[1]], np.int64)),
+                pa.array(np.concatenate([b[1][0] for b in some])), pa.array(np.concatenate([b[1][1] for b in some])), pa.array(column(lambda _, b: b[2], np.float64)),
+            ], ["query_id", "print", "vec_id", "score", "read"])
+
+    return rows.mapInArrow(run, "query_id long, print long, vec_id long, score long, read double")
+
+
+def _met(rows: DataFrame, queries: DataFrame, k: int, id_: str, vector: str) -> DataFrame:
+    rows, asked = _clean(rows, id_, vector), _clean(queries, id_, vector).distinct()
+    n_rows, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(max(cores, math.ceil(n_rows / SEGMENT)))  # many small files: fuller segments
+    total = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    n_blocks, out = max(1, math.ceil(total / BLOCK)), None
+    for b in range(n_blocks):
+        of_block = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == b)
+        got: dict[int, list] = {}
+        for dim, ids, x in (z for batch in of_block.toArrow().to_batches() for z in _scaled(batch)):
+            got.setdefault(dim, []).append((ids, x))
+        block = {}
+        for dim, parts in got.items():
+            ids, x = (np.concatenate(z) for z in zip(*parts))
+            block[dim] = ids, x, np.array([hash_of(v.tobytes()) for v in x], np.int64)
+        found = _pass(rows, block, k)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best rows for every query: query_id, rank, vec_id, score."""
-    clean = lambda df: df.where(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(F.col(vector).cast("array<double>"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = _packed(clean(queries).distinct(), BLOCK)
-    segments = _packed(clean(rows), SEGMENT)
-    n_rows = rows.count()
-    shares = max(1, min(4096, math.ceil(n_rows / SEGMENT)))
-    n_blocks = max(1, min(4096, math.ceil(queries.count() / BLOCK)))
-    # A grid of cells: a segment is in one of ``shares`` columns and meets all block rows, a block the other way round.
-    s = segments.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    q = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(n_blocks))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    s = s.select("dim", F.col("part").cast("int"), F.col("share").cast("int"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x"))
-    q = q.select("dim", F.col("part").cast("int"), F.col("share").cast("int"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seg, floors = None, None, {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                if key != (r["s_ids"], r["s_x"]):
-                    key = (r["s_ids"], r["s_x"])
-                    seg = Segment(np.frombuffer(r["s_ids"], np.int64), np.frombuffer(r["s_x"], np.int32).reshape(-1, dim).astype(np.int64))
-                out: list[list] = [[], [], [], []]
-                q_ids, q_x = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_x"], np.int32).reshape(-1, dim).astype(np.int64)
-                prints = [hash_of(x.tobytes()) for x in q_x]
-                if len(floors) > 100_000:
-                    floors = {}
-                known = np.array([floors.get(p, -np.inf) for p in zip(q_ids.tolist(), prints)])
-                for i, (ids, scores) in enumerate(seg.top(q_ids, q_x, k, known)):
-                    p = (int(q_ids[i]), prints[i])
-                    if len(scores) == k:
-                        floors[p] = max(floors.get(p, -np.inf), float(scores[-1]))
-                    out[0] += [p[0]] * len(ids)
-                    out[1] += [p[1]] * len(ids)
-                    out[2] += ids.tolist()
-                    out[3] += scores.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "print", "vec_id", "score"])
-
-    met = s.join(q, ["dim", "part", "share"]).select("dim", "s_ids", "s_x", "q_ids", "q_x")
-    found = met.mapInArrow(run, "query_id long, print long, vec_id long, score long")
     order = Window.partitionBy("query_id", "print").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _met(rows, queries, k, id_, vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def reads(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For every query the largest share of a segment's lists that it read: query_id, read (0 to 1)."""
+    return _met(rows, queries, k, id_, vector).groupBy("query_id").agg(F.max("read").alias("read"))
 
 
 def hash_of(raw: bytes) -> int:
     """A stable 63-bit fingerprint."""
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 1
 
 
