@@ -35,7 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_line_dedup": op3_line_dedup,
         "op3_line_dedup": OP3_SQL,
         "op6_exact_topk": OP6_SQL,
         "op9_decontamination": OP9_SQL,
