@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
-A tolerant tokenizer turns a page into blocks (runs of text between block-level tags) with their ancestors. A logistic
-classifier, trained on a bounded sample of pages whose landmark elements label their own blocks, prices each block as
-content or as boilerplate; the prices become terminal capacities. Neighbouring blocks, and blocks close in the tree, are
-joined by smoothness edges. The minimum cut (an exact reduction first, then augmenting paths) separates the two kinds.
+A tolerant tokenizer turns a page into blocks (runs of text between block-level tags, and inline adverts) with their
+ancestors. A logistic classifier, trained on a bounded sample of pages whose landmark elements label their own blocks, prices
+each block as content or as boilerplate; the prices become terminal capacities. Neighbouring blocks, and blocks close in the
+tree, are joined by smoothness edges. Their strength is the one that labels the sampled pages best when their landmarks are
+hidden, as they are in pages without landmarks. The minimum cut (an exact reduction first, then augmenting paths) separates
+the two kinds.
 
 Formulas and xmp texts are text like any other; svg drawings and annotations of formulas are not.
 
@@ -36,6 +38,7 @@ CLOSES_P = BLOCK_TAGS - {"button", "label", "option", "optgroup", "body", "html"
 BOILERPLATE_TAGS = set("aside button dialog footer form menu nav search".split())
 BOILERPLATE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILERPLATE_WORDS = set("ad ads adbox adsense advert adverts advertisement alert banner bottombar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header hidden legal links login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup privacy promo promoted promotion recommend recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+ADVERT_WORDS = set("ad ads adbox adsense advert adverts advertisement sponsored".split())
 CONTENT_WORDS = set("article articlebody body content entry main page post story text".split())
 
 TOKEN = re.compile(
@@ -51,6 +54,8 @@ FEATURES = {
     "paragraph": 0.8, "heading": 0.3, "list item": -0.2, "table cell": -0.3, "quote or code": 0.8, "log of length": 0.5, "link density": -2.5, "sentence ends": 0.7, "short": -0.5, "copyright sign": -2.0,
 }
 PRIOR = np.array(list(FEATURES.values()))
+#: Strengths of the edges that training chooses from; a margin is a logarithm of odds.
+STRENGTHS = (0.5, 1.0, 2.0, 4.0, 8.0)
 LANDMARKS = [list(FEATURES).index(k) for k in ("boilerplate element", "boilerplate word", "header element", "article element", "main element", "content word")]
 
 
@@ -67,6 +72,7 @@ class Node:
     good_word: bool = False
     hidden: bool = False
     link: bool = False
+    advert: bool = False
 
 
 @dataclass
@@ -90,8 +96,10 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 words = {w.lower() for w in PART.findall(value)}
-                node.bad_word |= bool(words & BOILERPLATE_WORDS) and tag not in ("body", "html")
+                inside = {"header"} if up.article or words & CONTENT_WORDS else set()  # the header of an article is no page header
+                node.bad_word |= bool(words & BOILERPLATE_WORDS - inside) and tag not in ("body", "html")
                 node.good_word |= bool(words & CONTENT_WORDS)
+                node.advert |= bool(words & ADVERT_WORDS) and tag not in BLOCK_TAGS
             elif name == "role":
                 node.bad |= value.lower() in BOILERPLATE_ROLES
                 node.main |= value.lower() == "main"
@@ -125,7 +133,7 @@ def blocks(page: str) -> list[Block]:
             if text.isspace():
                 return
             owner = top
-            while owner.parent is not None and owner.tag not in BLOCK_TAGS:
+            while owner.parent is not None and owner.tag not in BLOCK_TAGS and not owner.advert:
                 owner = owner.parent
         pieces.append(text)
         if top.link:
@@ -153,6 +161,8 @@ def blocks(page: str) -> list[Block]:
             while node.parent is not None and node.tag != tag:
                 node = node.parent
             if node.parent is not None:
+                if node.advert:
+                    end()
                 top = node.parent
         elif tag == "br":
             said(" ")
@@ -169,6 +179,8 @@ def blocks(page: str) -> list[Block]:
                     top = node.parent
             if not attributes.endswith("/") or tag in BLOCK_TAGS:
                 top = _open(tag, attributes, top)
+                if top.advert:
+                    end()
             if m[4] is not None:
                 said(html.escape(m[4]))
                 end()
@@ -201,27 +213,40 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
     return w
 
 
-def learn(pages: list[str]) -> np.ndarray:
-    """Weights from pages that label themselves: blocks under landmarks of one kind only; every second row hides its landmarks.
+@dataclass
+class Model:
+    """Weights of the features, and the strength of the smoothness edges."""
+
+    weights: np.ndarray
+    smooth: float = 1.0
+
+
+def labelled(page: str) -> tuple[list[Block], np.ndarray, np.ndarray]:
+    """Blocks of a page, and for those under landmarks of one kind only (their places) whether they are content."""
+    found = blocks(page)
+    x = features(found)
+    bad, good = x[:, 1:4].any(1), x[:, 4:6].any(1)
+    known = np.flatnonzero(bad != good)
+    return found, known, good[known]
 
-    Landmarks say what a block is, but other pages lack them: the hidden half teaches length, links and punctuation.
+
+def learn(pages: list[str]) -> Model:
+    """A model from pages that label themselves: blocks under landmarks of one kind only; every second row hides its landmarks.
+
+    Landmarks say what a block is, but other pages lack them: the hidden half teaches length, links and punctuation. Of equal
+    errors the strength nearest 1 wins.
     """
-    xs, ys = [], []
-    for page in pages:
-        if found := blocks(page):
-            x = features(found)
-            bad, good = x[:, 1:4].any(1), x[:, 4:6].any(1)
-            xs.append(x[bad != good])
-            ys.append(good[bad != good].astype(float))
-    if not xs:
-        return PRIOR.copy()
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    if len(x) == 0:
-        return PRIOR.copy()
+    known = [(found, places, good) for found, places, good in map(labelled, pages) if len(places)]
+    if not known:
+        return Model(PRIOR.copy())
+    x = np.concatenate([features(found)[places] for found, places, _ in known])
+    y = np.concatenate([good for _, _, good in known]).astype(float)
     blind = x.copy()
     blind[:, LANDMARKS] = 0
-    share = min(1.0, 100 / len(x))  # the data weigh as 100 rows at most, so that the prior keeps a say
-    return fit(np.concatenate([x, blind]), np.concatenate([y, y]), strength=1.0 / share)
+    model = Model(fit(np.concatenate([x, blind]), np.concatenate([y, y]), strength=max(1.0, len(x) / 100)))  # the prior keeps a say
+    wrong = {s: sum(int((labels(found, Model(model.weights, s), hide=True)[places] != good).sum()) for found, places, good in known) for s in STRENGTHS}
+    model.smooth = min(STRENGTHS, key=lambda s: (wrong[s], abs(math.log(s))))
+    return model
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -230,7 +255,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(found):
         if i:
             x, y, far = found[i - 1].node, b.node, 0
-            while x is not y and far < 12:
+            while x is not y:
                 far += 1
                 if x.depth >= y.depth and x.parent is not None:
                     x = x.parent
@@ -299,23 +324,30 @@ def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, joins: list[tuple[
     return np.array(side, bool)
 
 
-def extract_text(page: str | None, weights: np.ndarray) -> str:
+def labels(found: list[Block], model: Model, hide: bool = False) -> np.ndarray:
+    """Which blocks are content by the minimum cut; ``hide`` takes the landmarks away."""
+    x = features(found)
+    if hide:
+        x[:, LANDMARKS] = 0
+    margin = x @ model.weights
+    return minimum_cut(np.logaddexp(0, -margin), np.logaddexp(0, margin), [(i, j, model.smooth * w) for i, j, w in edges(found)])
+
+
+def extract_text(page: str | None, model: Model) -> str:
     """Main text of one page."""
     found = blocks(page or "")
     if not found:
         return ""
-    margin = np.clip(features(found) @ weights, -12, 12)
-    keep = minimum_cut(np.logaddexp(0, -margin), np.logaddexp(0, margin), edges(found))
-    return " ".join(b.text for b, k in zip(found, keep) if k)
+    return " ".join(b.text for b, k in zip(found, labels(found, model)) if k)
 
 
-def train(pages: DataFrame, n_pages: int = 300, key: str = "page_id") -> np.ndarray:
-    """Weights from a bounded sample: about ``n_pages`` pages drawn by hash from all."""
+def train(pages: DataFrame, n_pages: int = 300, key: str = "page_id") -> Model:
+    """A model from a bounded sample: about ``n_pages`` pages drawn by hash from all."""
     drawn = stratified(pages.select(key, "html").where(F.col("html").isNotNull()).withColumn("all", F.lit(1)), "all", F.col(key), n_pages, F.lit(""))
     return learn(sorted(r[0] for r in drawn.select("html").distinct().collect()))
 
 
-def extract(df: DataFrame, weights: np.ndarray, page: str = "html", output: str = "text") -> DataFrame:
+def extract(df: DataFrame, model: Model, page: str = "html", output: str = "text") -> DataFrame:
     """Add ``output``: the main text of every whole page."""
     df = without(df, output)
     at = df.columns.index(page)
@@ -323,7 +355,7 @@ def extract(df: DataFrame, weights: np.ndarray, page: str = "html", output: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, at):
-                made = pa.array([extract_text(t.as_py(), weights) for t in part.column(at)], pa.string())
+                made = pa.array([extract_text(t.as_py(), model) for t in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, output])
 
     return df.mapInArrow(run, with_field(df.schema, T.StructField(output, T.StringType())))
