@@ -9,20 +9,31 @@ from dataclasses import asdict
 from pathlib import Path
 
 from .errors import BudgetError, ConfigError, IoError, PlanError, ResumeError
-from .plans.document import from_document
+from .plans.document import from_document, options
 from .session import local
 
 CODES = [(PlanError, 2), (ConfigError, 2), (BudgetError, 3), (IoError, 4), (ResumeError, 5)]
 
 
+def _argument(text: str) -> tuple[str, object]:
+    name, _, value = text.partition("=")
+    try:
+        return name, json.loads(value)
+    except ValueError:
+        return name, value
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="millrace")
     p.add_argument("command", choices=["run", "check", "explain"])
     p.add_argument("job")
     p.add_argument("--cores", type=int, default=8)
+    p.add_argument("--arg", action="append", default=[], metavar="NAME=VALUE", help="a run argument; the value is read as JSON, else as text")
     a = p.parse_args(args)
     try:
-        job, ordered = from_document(Path(a.job).read_text())
+        text = Path(a.job).read_text()
+        job, ordered = from_document(text)
+        given = dict(_argument(x) for x in a.arg)
         spark = local(a.cores)
         if a.command == "check":
             job.check(spark)
@@ -30,7 +41,7 @@ def main(args: list[str] | None = None) -> int:
         elif a.command == "explain":
             print(job.explain(spark))
         else:
-            print(json.dumps(asdict(job.run(spark, ordered=ordered)), default=str))
+            print(json.dumps(asdict(job.run(spark, ordered=ordered, **options(text), **given)), default=str))
         return 0
     except KeyboardInterrupt:
         return 130

@@ -8,6 +8,7 @@ A function may be plain, or have ``setup(context)``, ``__call__(state, batch)``
 from __future__ import annotations
 
 import copy
+import hashlib
 import inspect
 from collections.abc import Callable, Iterator
 
@@ -74,7 +75,7 @@ class Function(Operator):
         return "polars" if any("polars" in k or "LazyFrame" in k for k in kinds) else "pandas" if any("pandas" in k or "pd.DataFrame" in k for k in kinds) else ""
 
     def arguments(self) -> dict:
-        return {"name": self.label, "instances": self.instances}
+        return {"name": self.label, "instances": self.instances, "code": _code(self._call)}
 
     def _once(self, state, batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         args = (state,) if self._stateful else ()
@@ -143,6 +144,22 @@ class Function(Operator):
         return bounded.mapInArrow(run, given)
 
 
+def _code(call) -> str:
+    """A digest of the code of a function, or of a class's methods; what it reads elsewhere is not in it."""
+    seen = hashlib.sha256()
+
+    def add(code) -> None:
+        seen.update(code.co_code + repr((code.co_names, code.co_varnames, [c for c in code.co_consts if not hasattr(c, "co_code")])).encode())
+        for c in code.co_consts:
+            if hasattr(c, "co_code"):
+                add(c)
+
+    target = call if inspect.isfunction(call) else type(call)
+    for _, f in [("", target)] if inspect.isfunction(target) else sorted(inspect.getmembers(target, inspect.isfunction)):
+        add(f.__code__)
+    return seen.hexdigest()[:16]
+
+
 def _batches(out) -> list[pa.RecordBatch]:
     if out is None:
         return []

@@ -28,6 +28,7 @@ from ..shipping import ship
 from ..sinks.base import Output
 from ..sources.base import Input
 from ..storage import drop, stored
+from .resume import Checkpoint
 
 NAME = re.compile(r"[A-Za-z0-9_\-.:]{1,128}")
 ARGUMENTS = {"string": str, "int": int, "float": float, "bool": bool, "date": dt.date, "timestamp": dt.datetime}
@@ -51,6 +52,8 @@ class Report:
     excluded: dict[str, int] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
     outcome: str = "completed"
+    run_id: str | None = None
+    resumed: bool = False
 
 
 def _snake(name: str) -> str:
@@ -92,6 +95,8 @@ class Job:
         self.barriers.append((list(after), list(before)))
 
     def arg(self, name: str, kind: str) -> Argument:
+        if name in ("spark", "ordered", "staging", "resume", "keep_checkpoint"):
+            raise PlanError(f"argument {name}: the name is taken")
         if kind not in ARGUMENTS:
             raise PlanError(f"argument {name}: no type {kind!r}; there are {', '.join(ARGUMENTS)}")
         if name in self.arguments:
@@ -213,7 +218,9 @@ class Job:
                 out[n] = self._join(n, out, numbered_at)
             elif isinstance(t.task, Operator):
                 out[n] = self._apply(t.task, [out[i] for i in t.inputs])
-            if n in first and n in out:
+            if self._checkpoint and isinstance(t.task, Function):
+                out[n] = self._checkpoint.table(n, out[n])
+            elif n in first and n in out:
                 out[n] = self._keep(out[n], n)
         return out
 
@@ -297,19 +304,48 @@ class Job:
 
     _ordered = False
 
-    def run(self, spark: SparkSession, ordered: bool = False, **arguments) -> Report:
-        """Check, bind arguments, and save every sink; rows are counted by the runs themselves."""
-        return self._bound(arguments)._run(spark, ordered)
+    def run(self, spark: SparkSession, ordered: bool = False, staging: str | None = None, resume: str | None = None, keep_checkpoint: bool = False, **arguments) -> Report:
+        """Check, bind arguments, and save every sink; rows are counted by the runs themselves.
 
-    def _run(self, spark: SparkSession, ordered: bool) -> Report:
-        self._ordered, self._stored = ordered, []
+        With a ``staging`` directory, saved sinks and the outputs of user functions are recorded there; ``resume`` ("auto", a
+        run id or a manifest's path) goes on from such a record. It is deleted when the job completes, unless kept. An
+        error carries ``run_id``.
+        """
+        if resume is not None and staging is None:
+            raise ConfigError("resume needs a staging directory")
+        job = self._bound(arguments)
         ship(prepare(spark))
-        self.check()
+        job.check()
+        digest = hashlib.sha256(f"{job.digest()}|{ordered}|{sorted(arguments.items())!r}".encode()).hexdigest()
+        checkpoint = Checkpoint(spark, staging, digest, resume) if staging else None
+        try:
+            report = job._run(spark, ordered, checkpoint)
+        except EngineError as e:
+            e.run_id = checkpoint.run_id if checkpoint else None
+            raise
+        if checkpoint:
+            report.run_id, report.resumed = checkpoint.run_id, checkpoint.resumed
+            if not keep_checkpoint:
+                checkpoint.remove()
+        return report
+
+    _checkpoint: Checkpoint | None = None
+
+    def _run(self, spark: SparkSession, ordered: bool, checkpoint: Checkpoint | None) -> Report:
+        self._ordered, self._stored, self._checkpoint = ordered, [], checkpoint
         report, began, held = Report(self.name, self.digest()), time.time(), []
         try:
-            frames, sinks = self.frames(spark), self._sinks()
-            held = self._persist(frames, sinks)
+            try:
+                frames, sinks = self.frames(spark), self._sinks()
+            except EngineError:
+                raise
+            except Exception as e:
+                _raise(e, "plan")
+            held = [] if checkpoint else self._persist(frames, sinks)
             for t in sinks:
+                if checkpoint and (rows := checkpoint.saved(t.name)) is not None:
+                    report.rows[t.name] = rows
+                    continue
                 seen = Observation(f"{self.name}-{t.name}-{time.time_ns()}")
                 df = frames[t.inputs[0]]
                 watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -320,6 +356,8 @@ class Job:
                 except Exception as e:
                     _raise(e, t.name)
                 report.rows[t.name] = seen.get["rows"]
+                if checkpoint:
+                    checkpoint.save(t.name, report.rows[t.name])
                 report.excluded |= getattr(t.task, "excluded", {})
         finally:
             for d in held:

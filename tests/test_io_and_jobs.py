@@ -387,3 +387,59 @@ def test_a_run_counts_what_rules_leave_out(spark, tmp_path):
     job.add(ParquetSink(str(tmp_path / "o")), job.add(ContractSource([c], contract="readings")))
     report = job.run(spark)
     assert report.rows == {"parquet": 6} and report.excluded == {"kwh": 3, "id": 1} and "not repeatable" in report.notes[0]
+
+
+def test_a_job_goes_on_from_its_checkpoint(spark, folder, tmp_path):
+    staging, ran, broken = tmp_path / "staging", tmp_path / "ran", tmp_path / "broken"
+    staging.mkdir()
+    ran.mkdir()
+    broken.touch()
+
+    def slow(batch):
+        if batch.num_rows:
+            (ran / f"{batch.column('id')[0].as_py()}-{len(list(ran.iterdir()))}").touch()
+        return batch
+
+    def weak(batch):
+        if broken.exists() and batch.num_rows:
+            raise ValueError("not today")
+        return batch
+
+    def job(keep="id >= 0"):
+        j = Job("again")
+        src = j.add(Filter(keep), j.add(ParquetSource(str(folder))))
+        first = j.add(Function(slow, gives={"id": "int64", "text": "string"}), src)
+        j.add(ParquetSink(str(tmp_path / "a")), first, name="a")
+        j.add(ParquetSink(str(tmp_path / "b")), j.add(Function(weak, gives={"id": "int64", "text": "string"}), first), name="b")
+        return j
+
+    with pytest.raises(FunctionError) as failed:
+        job().run(spark, staging=str(staging))
+    calls = len(list(ran.iterdir()))
+    assert calls and len(list(staging.iterdir())) == 1
+    from millrace.errors import ResumeError
+
+    with pytest.raises(ResumeError, match="another job"):
+        job("id > 3").run(spark, staging=str(staging), resume=failed.value.run_id)
+    with pytest.raises(ResumeError, match="no checkpoint"):
+        job().run(spark, staging=str(staging), resume="0" * 32)
+    with pytest.raises(ConfigError):
+        job().run(spark, resume="auto")
+    broken.unlink()
+    report = job().run(spark, staging=str(staging), resume="auto", keep_checkpoint=True)
+    assert report.resumed and report.rows == {"a": 30, "b": 30} and len(list(ran.iterdir())) == calls
+    again = job().run(spark, staging=str(staging), resume=f"{staging}/millrace-{report.run_id}/manifest.json")
+    assert again.resumed and again.rows == report.rows and not list(staging.iterdir())
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 30
+
+
+def test_documents_take_arguments_and_a_checkpoint(spark, folder, tmp_path):
+    (tmp_path / "staging").mkdir()
+    doc = {"version": 1, "name": "d", "arguments": {"least": "string"}, "staging": {"dir": str(tmp_path / "staging")}, "resume": "auto", "source": {"kind": "parquet", "options": {"urls": str(folder)}}, "kernels": [{"function": "filter", "args": {"expr": {"arg": "least"}}}], "sink": {"kind": "parquet", "options": {"url": str(tmp_path / "out")}}}
+    (tmp_path / "job.json").write_text(json.dumps(doc))
+    assert main(["run", str(tmp_path / "job.json"), "--arg", "least=id >= 25"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert main(["run", str(tmp_path / "job.json")]) == 2
+    for bad in ({"arguments": {"x": "nope"}}, {"arguments": {}}, {"staging": {"keep": True}}):
+        (tmp_path / "bad.json").write_text(json.dumps(doc | bad))
+        assert main(["run", str(tmp_path / "bad.json"), "--arg", "least=id >= 25"]) == 2
