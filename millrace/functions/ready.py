@@ -15,6 +15,9 @@ from ..schema import field_of
 from ..session import column
 
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER = SPACE.replace("[", "[^", 1)
+#: Parts of a text whose places are summed up together, so that the work stays linear.
+TOGETHER = 64
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
@@ -27,8 +30,8 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df
     for n in columns:
         field_of(df.schema, n, "normalise")
-        bare = F.transform(F.split(column(n), SPACE + "+"), lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, f"^{PUNCTUATION}+", ""), f"{PUNCTUATION}+$", "")))
-        out = out.withColumn(n, F.array_join(F.filter(bare, lambda t: t != ""), " "))
+        bare = F.regexp_replace(column(n), f"(?<!{OTHER}){PUNCTUATION}++|{PUNCTUATION}++(?!{OTHER})", "")
+        out = out.withColumn(n, F.lower(F.trim(F.regexp_replace(bare, SPACE + "+", " "))))
     return out
 
 
@@ -41,9 +44,16 @@ def tokenise(df: DataFrame, text: str, row: str | None = None) -> DataFrame:
     number = column(row).cast("long") if row else F.monotonically_increasing_id()
     made = df.select(number.alias("row_id"), F.split(column(text), SPACE).alias("parts"))
     # Every white-space character ends a part, so a part starts after the bytes of those before and one separator each.
+    # Places are summed for blocks of parts first, then inside of each block.
+    blocks = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / TOGETHER).cast("int"))
+    block = lambda b: F.slice("parts", b * TOGETHER + 1, TOGETHER)
+    sizes = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda acc, p: acc + F.octet_length(p) + 1))
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    made = made.withColumn("starts", F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), add)["all"])
     start = lambda acc, p: F.struct((acc["at"] + F.octet_length(p) + 1).alias("at"), F.concat(acc["all"], F.array(F.struct(acc["at"].alias("start"), p.alias("token")))).alias("all"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,token:string>>").alias("all"))
-    tokens = F.filter(F.aggregate("parts", zero, start)["all"], lambda s: s["token"] != "")
+    none = F.array().cast("array<struct<start:int,token:string>>")
+    each = F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), F.struct(F.get("starts", b).alias("at"), none.alias("all")), start)["all"]))
+    tokens = F.filter(each, lambda s: s["token"] != "")
     each = made.select("row_id", F.posexplode(tokens).alias("token_index", "t"))
     return each.select("row_id", "token_index", F.col("t.start").alias("token_start"), (F.col("t.start") + F.octet_length("t.token")).alias("token_end"), F.col("t.token").alias("token"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..errors import PlanError
 from ..schema import field_of
 from .base import Env, Operator, names, new_name, text
-from .blake3 import blake3
+from .blake3 import blake3_many
 
 
 def as_text(c: Column, kind: T.DataType) -> Column:
@@ -47,7 +47,7 @@ def framed(c: Column, kind: T.DataType) -> Column:
 @F.pandas_udf(T.StringType())
 def _blake3(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
-        yield s.map(lambda b: blake3(bytes(b)).hex())
+        yield pd.Series([h.hex() for h in blake3_many([bytes(b) for b in s])], s.index, dtype=object)
 
 
 class Hash(Operator):
