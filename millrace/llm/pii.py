@@ -238,15 +238,14 @@ def sound(kind: str, text: str) -> bool:
 def name_end(text: str, end: int) -> int:
     """Where a name ends whose first part ends at ``end``.
 
-    The second part may be any word, every further one is capitalised, an initial, of a script without case, or a particle
-    before such a part. Line ends, other punctuation, titles and digits end a name.
+    Every further part is capitalised, an initial, of a script without case, or a particle before such a part. Line ends,
+    other punctuation, titles and digits end a name.
     """
-    at, n = end, 1
+    at = end
     while m := NEXT.match(text, at):
         part, at = m[m.lastgroup], m.end()
-        bare = part.rstrip(".")
-        if not part[0].islower() or n == 1 and len(bare) > 1:
-            end, n = at, n + 1
+        if not part[0].islower():
+            end = at
         elif part.lower() not in PARTICLES:
             break
     return end
@@ -264,7 +263,28 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
             continue
         at = b = name_end(text, b) if kind == "person" else b
         out.append((a, b, kind))
-    return out
+    return mentions(text, out)
+
+
+def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``found`` and every other mention, without a title, of the names in it.
+
+    A part of a found name counts anywhere in the text if it is spelt alike, capitalised (or of a script without case) and no
+    particle or initial; a listed given name before it, and further capitalised parts of found names after it, belong to it.
+    """
+    parts = {w[0] for a, b, kind in found if kind == "person" for w in WORDS.finditer(text[a:b]) if len(w[0]) > 1 and not w[0][0].islower() and w[0].lower() not in PARTICLES}
+    if not parts:
+        return found
+    one = "|".join(sorted(map(re.escape, parts), key=lambda x: (-len(x), x)))
+    given = "|".join(sorted(GENDER_OF))
+    whole = re.compile(rf"(?<!\w)(?:(?:{given}){_GAP})*(?:{one})(?!\w)(?:{_GAP}(?:{one})(?!\w))*")
+    out, taken, k = list(found), [(a, b) for a, b, _ in found], 0
+    for m in whole.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
+            out.append((*m.span(), "person"))
+    return sorted(out)
 
 
 def replace(text: str | None, s: Surrogates) -> tuple[str | None, list[tuple[int, int, str, str, str]]]:

@@ -64,6 +64,60 @@ def test_whole_names_go(text, name):
     assert not set(re.findall(r"[^\W\d_]{2,}", name)) - {"van", "der"} & set(re.findall(r"[^\W\d_]+", new))
 
 
+@pytest.mark.parametrize("text", ["Dr Smith said hello", "Prof Müller and others came", "Frau Weber geht heim", "Mr Jones went home"])
+def test_clean_words_after_a_name_stay(text):
+    new, found = pii.replace(text, S)
+    assert len(found) == 1 and new.split()[2:] == text.split()[2:] and new.split()[1] != text.split()[1]
+
+
+def test_names_are_found_again_without_their_title():
+    text = "Mr Smith went home. Smith was tired. John Smith left, Smithsonian stayed. Mrs. Anna van der Berg: Berg's den. Van life, a berg"
+    new, found = pii.replace(text, S)
+    names = [text[a:b] for a, b, *_ in found]
+    assert names[:2] == ["Smith", "Smith"] and names[2].endswith("Smith") and names[3:] == ["Anna van der Berg", "Berg"]
+    assert "Smith " not in new and "Smithsonian" in new and "a berg" in new and "Van life" in new
+    assert len({e[4] for e in found if e[3] == "smith"}) == 1
+    again, spans = pii.replace("Dr 王伟 来了。王伟 走了", S)
+    assert len(spans) == 2 and "王伟" not in again
+
+
+def brute_pii(texts, key):
+    """Every span replaced one after another from the end, with the key that no two entities of all texts share a surrogate under."""
+    for k in range(8):
+        s = pii.Surrogates(key if not k else f"{key}#{k}")
+        seen = {}
+        for t in texts:
+            for a, b, kind in pii.detect(t):
+                norm = pii.canonical(kind, t[a:b])
+                seen.setdefault((kind, s.of(kind, norm)), set()).add(norm)
+        if all(len(v) == 1 for v in seen.values()):
+            break
+    out = []
+    for t in texts:
+        spans = pii.detect(t)
+        for a, b, kind in reversed(spans):
+            t = t[:a] + pii.dressed(kind, t[a:b], s.of(kind, pii.canonical(kind, t[a:b]))) + t[b:]
+        out.append((t, len(spans)))
+    return out
+
+
+def test_pii_query_is_brute_force(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    want = dict(zip(rows, brute_pii(list(rows.values()), pii.DEFAULT_KEY)))
+    assert {r.doc_id: (r.text, r.n_entities) for r in pii.op2_pii(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_secret_query_is_brute_force(spark, forest):
+    """Every candidate of every whole text, one at a time."""
+    got = {r.doc_id: (r.n_candidates, [(s.start, s.end) for s in r.secrets]) for r in secret_scan.op5_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        spans = secret_scan.candidates(r.text)
+        hits = [{"start": a, "end": b, "score": p} for a, b in spans if (p := float(forest.predict(np.array([secret_scan.features(r.text, a, b, r.source or "")]))[0])) >= secret_scan.THRESHOLD]
+        assert got[r.doc_id] == (len(spans), [(s["start"], s["end"]) for s in secret_scan.outermost(hits)])
+
+
 def test_every_script_has_other_letters():
     for script in ("王伟李娜张敏", "محمدعلي", "रजशकम", "김철수박영", "さとうけん", "ñçßøł", "ёйъьэ"):
         words = {a + b for a in script for b in script}
