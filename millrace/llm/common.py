@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 #: Characters of text that one vectorised step of a Python stage works on at most (a longer single text goes alone).
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

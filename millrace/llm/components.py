@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import store
@@ -29,8 +31,10 @@ def components(links: DataFrame, root: str, name: str = "components", most_round
     edges = store(links.where("u <> v").select("u", "v").distinct(), root, f"{name}_0")
     state = None
     for k in range(1, most_rounds + 1):
-        edges = store(_star(_star(edges, True), False), root, f"{name}_{k}")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation(f"{name}-{k}-{uuid.uuid4().hex}")
+        made = _star(_star(edges, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = store(made, root, f"{name}_{k}")
+        now = (seen.get["n"], seen.get["sum"])
         if now == state or not now[0]:
             break
         state = now

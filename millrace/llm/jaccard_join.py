@@ -8,13 +8,16 @@ Texts become sets of word shingles (64-bit fingerprints). Equal sets form one cl
   n - ceil(t n) + 1 is common to any pair that reaches t). Light sets that can reach a heavy one are in these lists too.
 
 The boundary is the one of least cost, measured on the lists that the small sets themselves make. Corpus-wide counts put
-frequent shingles last in the order, so that common passages open no lists.
+frequent shingles last in the order, so that common passages open no lists. Every posting carries how many shingles of its
+set are left from it on: at the first shingle that two sets share, what both have left bounds what they share, so a meeting
+whose bound is too low is no candidate there.
 
-By default every candidate pair of classes is verified, so ``links`` has every link between different sets and ``join_links``
-counts each row's. In a group of near copies their number is quadratic. Where only components matter, ``spanning=True`` is the
-shortcut: lists are scanned in rounds. First every member meets one hub of its list,
-and verified links join classes into components; then only pairs of different components within a list remain, and all of
-them are verified. Every link between sets whose components are not known to be one is thus found, and none is guessed.
+``links`` scans the lists in rounds that find enough links to connect all classes that are linked. First the members of a list
+meet one hub, every class is compared with the hub it meets most often, and verified links join classes into components; lists
+that hold a single component are done. When a round finds next to nothing, every member outside a list's largest component meets
+all members of other components. Of these pairs a few for any two components are verified first, those with most meetings; then
+all that still lie in different components. Every link between sets whose components are not known to be one is verified,
+and none is guessed, so a group of near copies costs about as many meetings as it has postings and not its square. ``all_links`` verifies every candidate pair; its output is quadratic in such a group.
 
 Null texts and texts without words have empty sets and no links. Texts of fewer words than a shingle has are one shingle.
 Repeated rows fall into one class. Null ids take part but never name a component, unless all ids of it are null.
@@ -29,25 +32,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import POWER, POWER_INVERSE, powers
-from .common import free_name, shared_dir, steps, store, table
+from .common import free_name, release, shared_dir, steps, store, table
 from .components import components
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
 PART, WHOLE = 75, 100
-#: Largest set that is considered for subset enumeration.
-LIGHT = 10
+#: Sets of up to so many shingles are kept at hand for enumeration (8 bytes each); one of them has over 10^11 subsets.
+SMALL = 64
 #: Shingles that a task counts together, the least count it reports, and how many frequent ones the order knows (the order
 #: never changes results, only the length of lists).
-COUNTED, REPORTED, FREQUENT = 4_000_000, 3, 1 << 18
-#: Members of one component in one list that are handled together in the last round.
-CHUNK = 256
-#: Rounds of hubs at most; they end when a round finds fewer new links than this share of all found.
-HUB_ROUNDS, FEW_LINKS = 4, 0.005
+COUNTED, REPORTED, FREQUENT = 1_000_000, 3, 1 << 18
+#: Postings of a frequent shingle that are sorted together; longer lists are cut by class.
+SPLIT = 50_000
+#: Rounds of hubs end when one finds at most this share of all links found; no link is lost by it.
+FEW_LINKS = 0.01
+#: Pairs of any two components that are verified in each round before all are.
+TRIED = (1, 16)
+#: Subsets for each posting up to which enumeration is measured.
+DEARER = 2
 #: Classes whose sets are fetched by broadcasting their ids (8 bytes and a document's id each); more are shuffled.
 BROADCAST_CLASSES = 200_000
 
@@ -131,7 +139,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for part in steps(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 both = [prints(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= LIGHT else None for s in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary())], names)
                 for s, p in zip(sets, both):
                     if p not in seen:
                         seen.add(p)
@@ -145,98 +153,142 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(run, "kind int, doc_id long, print long, n int, p1 long, p2 long, small binary")
 
 
-def _postings(docs: DataFrame, frequent: list[tuple[int, int]], boundary: int, collisions: set[int]) -> DataFrame:
-    """t (a shingle of a prefix, or a subset's key), c (class) and n (its size)."""
-    spark = docs.sparkSession
-    order = sorted(frequent)
-    table_ = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.int64), np.array([k for _, k in order], np.int64)))
+def prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order (unknown ones by hash, then the frequent ones by count), and their counts (0: unknown)."""
+    k = prefix_length(len(s))
+    if not len(hot):
+        return s[:k], np.zeros(k, np.int64)
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    common = hot[at] == s
+    rare = s[~common][:k]
+    known = np.flatnonzero(common)
+    known = known[np.lexsort((s[known], count[at[known]]))][: k - len(rare)]
+    return np.concatenate([rare, s[known]]), np.concatenate([np.zeros(len(rare), np.int64), count[at[known]]])
+
+
+def _postings(docs: DataFrame, order: Broadcast, boundary: int, collisions: set[int]) -> DataFrame:
+    """t (a shingle of a prefix), c (class), n (its size), r (its shingles from t on, in order) and part (of a long list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, count = table_.value
+        hot, count = order.value
         seen: set[int] = set()
         for batch in batches:
-            for part in steps(batch, 0):
-                t, c, n = [], [], []
-                for s in shingle_sets(part.column(0).to_pylist()):
+            for step in steps(batch, 0):
+                t, c, n, r, part = [], [], [], [], []
+                for s in shingle_sets(step.column(0).to_pylist()):
                     size = len(s)
-                    if not size:
+                    if WHOLE * size < PART * (boundary + 1):
                         continue
                     p1, p2 = prints(s)
                     p = p2 if p1 in collisions else p1
                     if p in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(p)
-                    keys = []
-                    if size <= boundary:
-                        keys.append(np.array(subset_keys(s, subset_sizes(size, boundary)), np.int64))
-                    if WHOLE * size >= PART * (boundary + 1):
-                        k = prefix_length(size)
-                        if len(hot):
-                            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                            common = hot[at] == s
-                            rare = s[~common][:k]
-                            if len(rare) < k:
-                                known = np.flatnonzero(common)
-                                rare = np.concatenate([rare, s[known[np.lexsort((s[known], count[at[known]]))]][: k - len(rare)]])
-                        else:
-                            rare = s[:k]
-                        keys.append(rare)
-                    for a in keys:
-                        t.append(a)
-                        c.append(np.full(len(a), p, np.int64))
-                        n.append(np.full(len(a), size, np.int32))
+                    rare, often = prefix(s, hot, count)
+                    k = len(rare)
+                    t.append(rare)
+                    c.append(np.full(k, p, np.int64))
+                    n.append(np.full(k, size, np.int32))
+                    r.append(np.arange(size, size - k, -1, dtype=np.int32))
+                    part.append((np.uint64(p & (2**64 - 1)) % (often // SPLIT + 1).astype(np.uint64)).astype(np.int32))
                 flat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]))
-                yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(c, np.int64), flat(n, np.int32)], ["t", "c", "n"])
+                yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(c, np.int64), flat(n, np.int32), flat(r, np.int32), flat(part, np.int32)], ["t", "c", "n", "r", "part"])
 
-    return docs.select("text").mapInArrow(run, "t long, c long, n int")
+    return docs.select("text").mapInArrow(run, "t long, c long, n int, r int, part int")
 
 
-def boundary_by_cost(sizes: DataFrame) -> int:
-    """The largest set to enumerate, by the cost measured on the small sets (columns n and small, one row for a class).
+def _enumerated(small: DataFrame, boundary: int) -> DataFrame:
+    """t (a subset's key) with the columns of ``small`` (c, n, small) but the set, for sets up to the boundary; way is the subset's size."""
 
-    Cost of a way: the rows it writes plus the lengths of the lists that they read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in [batch.slice(i, 64) for i in range(0, batch.num_rows, 64)]:
+                t, c, n, way = [], [], [], []
+                for class_, size, raw in zip(*(x.to_pylist() for x in step.columns)):
+                    s = np.frombuffer(raw, np.int64)
+                    for w in subset_sizes(size, boundary):
+                        keys = subset_keys(s, [w])
+                        t += keys
+                        c += [class_] * len(keys)
+                        n += [size] * len(keys)
+                        way += [w] * len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(way, pa.int32())], ["t", "c", "n", "way"])
+
+    return small.where(F.col("n") <= boundary).select("c", "n", "small").mapInArrow(run, "t long, c long, n int, way int")
+
+
+def boundary_by_cost(small: DataFrame, order: Broadcast) -> int:
+    """The largest set to enumerate, by the cost measured on the small sets (columns c, n and small, one row for a class).
+
+    Cost of a way: the rows it writes plus the lengths of the lists that they read. Enumeration is measured up to the size
+    at which its subsets alone are DEARER times the postings of the small sets (all shuffled, so it could not pay by then).
+    Of equal costs the larger boundary wins.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, count = order.value
         for batch in batches:
-            way, n, t = [], [], []
-            for size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.int64)
-                for w, keys in ((0, s[: prefix_length(size)].tolist()), (1, subset_keys(s, subset_sizes(size, LIGHT)))):
-                    way += [w] * len(keys)
-                    n += [size] * len(keys)
-                    t += keys
-            yield pa.RecordBatch.from_arrays([pa.array(way, pa.int32()), pa.array(n, pa.int32()), pa.array(t, pa.int64())], ["way", "n", "t"])
-
-    keys = sizes.where(F.col("small").isNotNull() & (F.col("n") > 0)).select("n", "small").mapInArrow(run, "way int, n int, t long")
-    by_list = keys.groupBy("way", "t", "n").agg(F.count("*").alias("rows"))
-    lists = keys.groupBy("way", "t").agg(F.count("*").alias("length"))
-    costs = by_list.join(lists, ["way", "t"]).groupBy("way", "n").agg(F.sum(F.col("rows") * (1 + F.col("length"))).alias("cost"))
-    known = {(r["way"], r["n"]): int(r["cost"]) for r in costs.collect()}
+            kept = [(len(s), prefix(s, hot, count)[0]) for s in (np.frombuffer(raw, np.int64) for raw in batch.column(1).to_pylist())]
+            n = np.repeat([n for n, _ in kept], [len(t) for _, t in kept]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(np.concatenate([np.zeros(0, np.int64), *[t for _, t in kept]]))], ["n", "t"])
+
+    def costs(keys: DataFrame, *by: str) -> dict:
+        """Rows and cost by set size and ``by``: a key's rows are counted once by size and once in all, so that no row meets another."""
+        lists = keys.groupBy("t", "n", *by).agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("length"), F.collect_list(F.struct("n", *by, "k")).alias("sizes"))
+        rows = lists.select("length", F.explode("sizes").alias("s")).groupBy("s.n", *[f"s.{b}" for b in by]).agg(F.sum("s.k").alias("rows"), F.sum(F.col("s.k") * (1 + F.col("length"))).alias("cost"))
+        return {tuple(r)[:-2]: (int(r["rows"]), int(r["cost"])) for r in rows.collect()}
+
+    sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
+    by_list = {k[0]: v for k, v in costs(small.select("n", "small").mapInArrow(prefixes, "n int, t long")).items()}
+    most, bound = 0, DEARER * sum(rows for rows, _ in by_list.values())
+    while most < SMALL and sum(sizes.get(n, 0) * math.comb(n, w) for n in range(1, most + 2) for w in subset_sizes(n, most + 1)) <= bound:
+        most += 1
+    by_subset = costs(_enumerated(small, most), "way") if most else {}
 
     def total(b: int) -> int:
-        light = sum(known.get((1, n), 0) for n in range(1, b + 1))
-        return light + sum(known.get((0, n), 0) for n in range(1, LIGHT + 1) if WHOLE * n >= PART * (b + 1))
-
-    return min(range(LIGHT + 1), key=lambda b: (total(b), b))
-
+        light = sum(by_subset.get((n, w), (0, 0))[1] for n in range(1, b + 1) for w in subset_sizes(n, b))
+        return light + sum(cost for n, (_, cost) in by_list.items() if WHOLE * n >= PART * (b + 1))
+
+    return min(range(most + 1), key=lambda b: (total(b), -b))
+
+
+def _lists(docs: DataFrame, small: DataFrame, frequent: list[tuple[int, int]], collisions: set[int], root: str) -> DataFrame:
+    """The inverted lists with more than one class: t, c, n, r."""
+    known = sorted(frequent)
+    order = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in known], np.int64), np.array([k for _, k in known], np.int64)))
+    boundary = boundary_by_cost(small, order)
+    heavy = _postings(docs, order, boundary, collisions).repartition("t", "part").distinct()  # one shuffle serves the lists as well
+    w = Window.partitionBy("t", "part")
+    heavy = heavy.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).withColumn("parts", F.max("part").over(w))
+    heavy = heavy.where("lo <> hi or parts > 0").select("t", "c", "n", "r")
+    if not boundary:
+        return _alive(store(heavy, root, "met"), root)
+    keys = store(_enumerated(small, boundary).drop("way"), root, "subsets")
+    shared = keys.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("t").alias("key"))
+    light = keys.join(shared, F.col("t") == F.col("key")).select("t", "c", "n", F.col("n").alias("r"))
+    return _alive(store(heavy.union(light), root, "met"), root)
+
+
+def _alive(lists: DataFrame, root: str) -> DataFrame:
+    """Postings that some other member of their list may reach; most lists of two or three hold none."""
+    other = lists.select(F.col("t").alias("at"), F.struct("c", "n", "r").alias("b"))
+    one = lists.select("t", F.struct("c", "n", "r").alias("a")).join(other, F.expr(f"t = at and a.c <> b.c and {_able('a', 'b')}"), "left_semi")
+    out = store(one.select("t", "a.*"), root, "lists")
+    release(lists.sparkSession, f"{root}/met")
+    return out
 
-def _fits(n: str, m: str) -> str:
-    return f"{WHOLE} * least({n}, {m}) >= {PART} * greatest({n}, {m})"
 
+def _able(x: str, y: str) -> str:
+    """Members of sizes n that may reach the similarity by what they have left (r) from the shingle on that they meet at."""
+    n, m = f"{x}.n", f"{y}.n"
+    return f"{WHOLE} * least({n}, {m}) >= {PART} * greatest({n}, {m}) and {PART + WHOLE} * least({x}.r, {y}.r) >= {PART} * ({n} + {m})"
 
-def _candidates(met: DataFrame, boundary: int) -> DataFrame:
-    """Pairs (u, v) that may reach the similarity, from meetings (a, b) of members (c, n) in lists.
 
-    Two sets whose prefixes share k shingles have at most k + max(n - p(n), m - p(m)) in common, p being the prefix's length:
-    beyond the prefix that ends first, every common shingle is one of the rest of its set. Light pairs met in a subset.
-    """
-    counted = met.where(_fits("a.n", "b.n")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("k"))
-    rest = f"greatest(ceil({PART} * x.n / {WHOLE}), ceil({PART} * y.n / {WHOLE})) - 1"
-    enough = f"k >= ceil({PART} * (x.n + y.n) / {PART + WHOLE}) - ({rest}) or greatest(x.n, y.n) <= {boundary}"
-    return counted.where(enough).select(F.col("x.c").alias("u"), F.col("y.c").alias("v"))
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of met classes (x, y)."""
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,29 +299,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.where(f"{WHOLE} * x >= {PART} * (both - x)").select("u", "v")
 
 
-def _hubs(now: DataFrame, k: int) -> DataFrame:
-    """Every member of a list (t, c, n, component g) with the list's hub of round k, if that is of another component."""
-    hub = F.struct(F.xxhash64("c", F.lit(k)).alias("draw"), "c", "n", "g")
-    met = now.withColumn("hub", F.min(hub).over(Window.partitionBy("t"))).where("hub.g <> g")
-    return met.select(F.struct("c", "n").alias("a"), F.struct("hub.c", "hub.n").alias("b"))
+def _mains(now: DataFrame, k: int) -> DataFrame:
+    """For every list that holds several components: the largest (main; of equals another in every round k), and a member of it as the hub."""
+    draw = lambda c: F.xxhash64(c, F.lit(k))
+    parts = now.groupBy("t", "g").agg(F.count("*").alias("k"), F.min(F.struct(draw("c").alias("draw"), "c", "n", "r")).alias("m"))
+    lists = parts.groupBy("t").agg(F.max(F.struct("k", draw("g").alias("draw"), "g", "m")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return lists.select(F.col("t").alias("list"), F.col("top.g").alias("main"), F.col("top.m").alias("hub"))
+
+
+def _hubs(now: DataFrame, mains: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Every member outside the main component of a list with one hub: the one that it meets in the most lists, of those not tested with it."""
+    met = now.alias("a").join(mains.alias("b"), F.expr(f"a.t = b.list and a.g <> b.main and {_able('a', 'b.hub')}"))
+    often = met.groupBy(F.col("a.c").alias("x"), F.col("b.hub.c").alias("y")).agg(F.count("*").alias("k"))
+    often = _untested(often.select("x", "y", "k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), tested)
+    return _pairs(often.groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
 
 
-def _rest(now: DataFrame, root: str) -> DataFrame:
-    """All pairs of members of different components of a list; members of one component stand together in chunks."""
-    now = store(now, root, "rest")
-    place = F.row_number().over(Window.partitionBy("t", "g").orderBy("c"))
-    chunks = now.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "g", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
-    one, two = chunks.select("t", F.col("g").alias("g1"), F.col("m").alias("m1")), chunks.select("t", F.col("g").alias("g2"), F.col("m").alias("m2"))
-    return one.join(two, "t").where("g1 < g2").select(F.explode("m1").alias("a"), "m2").select("a", F.explode("m2").alias("b"))
+def _rest(now: DataFrame, mains: DataFrame) -> DataFrame:
+    """Members outside the main component of a list with all members of other components that they may reach: u < v and k, their meetings."""
+    outside = now.join(mains.select("list", "main"), F.expr("t = list and g <> main")).select(F.col("t").alias("at"), "c", "n", "r", "g", "main")
+    met = outside.alias("a").join(now.alias("b"), F.expr(f"a.at = b.t and a.g <> b.g and (b.g = a.main or a.c < b.c) and {_able('a', 'b')}"))
+    return met.groupBy(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).agg(F.count("*").alias("k"))
 
 
-def _all(lists: DataFrame) -> DataFrame:
-    """All pairs of members (c, n) of a list; chunks of members meet, so that a huge list is no single group."""
-    place = F.row_number().over(Window.partitionBy("t").orderBy("c"))
-    chunks = lists.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("t", "chunk").agg(F.collect_list(F.struct("c", "n")).alias("m"))
-    one, two = chunks.select("t", F.col("chunk").alias("k1"), F.col("m").alias("m1")), chunks.select("t", F.col("chunk").alias("k2"), F.col("m").alias("m2"))
-    met = one.join(two, "t").where("k1 <= k2").select(F.explode("m1").alias("a"), "m2", "k1", "k2").select("a", F.explode("m2").alias("b"), "k1", "k2")
-    return met.where("k1 < k2 or a.c < b.c").select("a", "b")
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose components (g < h) differ."""
+    one = pairs.join(label.toDF("x", "lx"), F.col("u") == F.col("x"), "left").select("u", "v", "k", F.coalesce("lx", "u").alias("a"))
+    two = one.join(label.toDF("y", "ly"), F.col("v") == F.col("y"), "left").select("u", "v", "k", "a", F.coalesce("ly", "v").alias("b"))
+    return two.where("a <> b").select("u", "v", "k", F.least("a", "b").alias("g"), F.greatest("a", "b").alias("h"))
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFrame:
@@ -297,60 +358,85 @@ def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFr
     return chosen.mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"])
 
 
-def links(docs: DataFrame, root: str, spanning: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, print, n, c), classes (c, first: its smallest id) and every verified link (u, v) between classes, once each.
-
-    With ``spanning`` only enough links, or stars in their place, to connect all classes that are linked.
-    """
+def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, set[int]]:
+    """Rows (doc_id, print, n, c), classes (c, first: its smallest id), lists (t, c, n, r) and colliding prints."""
     made = store(_sets(docs), root, "sets")
     known = made.where("kind = 0")
     twice = known.where("n > 0").groupBy("p1").agg(F.min("p2").alias("a"), F.max("p2").alias("b")).where("a <> b").select("p1").limit(10_001).collect()
-    if len(twice) > 10_000:
+    if len(twice) > 10_000:  # 10^11 different sets give 300
         raise ValueError("too many hash collisions")
     collisions = {r[0] for r in twice}
     c = F.when(F.col("p1").isin(list(collisions)), F.col("p2")).otherwise(F.col("p1")) if collisions else F.col("p1")
     rows = known.select("doc_id", "print", "n", c.alias("c"), "small")
     frequent = made.where("kind = 1").groupBy(F.col("p1").alias("h")).agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "h").limit(FREQUENT)
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
-    small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).select("c", "n", "small").distinct()
-    boundary = boundary_by_cost(small)
-
-    postings = _postings(docs, [(r["h"], r["k"]) for r in frequent.collect()], boundary, collisions).repartition("t").distinct()  # one shuffle serves the lists as well
-    w = Window.partitionBy("t")
-    lists = postings.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo <> hi").select("t", "c", "n")
-    lists = store(lists, root, "lists")
-
-    if not spanning:
-        pairs = store(_candidates(_all(lists), boundary), root, "pairs")
-        wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-        sets = store(_fetched(docs, store(wanted.join(classes, "c"), root, "wanted"), collisions), root, "linked_sets")
-        return rows.select("doc_id", "print", "n", "c"), classes, store(_verified(pairs, sets), root, "links")
-
-    w_t, label, sets, n_found, k, last = Window.partitionBy("t"), None, None, 0, 0, False
+    classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")), root, "ids")
+    small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).groupBy("c").agg(F.min("n").alias("n"), F.min("small").alias("small"))
+    lists = _lists(docs, store(small, root, "small"), [(r["h"], r["k"]) for r in frequent.collect()], collisions, root)
+    return rows.drop("small"), classes, lists, collisions
+
+
+def _links_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, collisions: set[int], root: str, name: str) -> DataFrame:
+    """Those of the pairs (u, v) that reach the similarity; the sets of the classes in them are made anew from their texts."""
+    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c")
+    sets = store(_fetched(docs, store(wanted, root, f"wanted_{name}"), collisions), root, f"sets_{name}")
+    out = store(_verified(pairs, sets), root, f"links_{name}")
+    for done in (f"wanted_{name}", f"sets_{name}"):
+        release(docs.sparkSession, f"{root}/{done}")
+    return out
+
+
+def _joined(fresh: DataFrame, label: DataFrame | None, root: str, name: str) -> DataFrame:
+    """Components after new links; earlier ones are kept as the stars of their components."""
+    if label is not None and fresh.isEmpty():
+        return label
+    found = fresh if label is None else fresh.union(label.select(F.col("node").alias("u"), F.col("label").alias("v")))
+    return store(components(found, root, f"star_{name}"), root, f"label_{name}")
+
+
+def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, print, n, c), classes (c, first) and links (u, v), or stars in their place, that connect all classes that are linked."""
+    spark = docs.sparkSession
+    rows, classes, lists, collisions = _prepared(docs, root)
+    now, label, tested, n_found, k = lists.withColumn("g", F.col("c")), None, None, 0, 0
     while True:
-        if label is None:
-            now = lists.withColumn("g", F.col("c"))
-        else:
-            # Only lists that still hold several components.
-            now = lists.join(label, lists.c == label.node, "left").select("t", "c", "n", F.coalesce("label", "c").alias("g"))
-            now = now.withColumn("lo", F.min("g").over(w_t)).withColumn("hi", F.max("g").over(w_t)).where("lo <> hi").select("t", "c", "n", "g")
-        pairs = store(_candidates(_rest(now, root) if last else _hubs(now, k), boundary), root, f"pairs_{k}")
-        wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("c"), "c", "left_anti")
-        got = store(_fetched(docs, store(wanted.join(classes, "c"), root, f"wanted_{k}"), collisions), root, f"sets_{k}")
-        sets = got if sets is None else sets.union(got)
-        fresh = store(_verified(pairs, sets), root, f"links_{k}")
-        # Earlier links are kept as the stars of their components.
-        found = fresh if label is None else fresh.union(label.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        if last:
-            break
+        mains = store(_mains(now, k), root, f"mains_{k}")
+        pairs = store(_hubs(now, mains, tested), root, f"pairs_{k}")
+        fresh = _links_of(pairs, docs, classes, collisions, root, f"hubs_{k}")
         new = fresh.count()
         n_found += new
-        label = components(found, root, f"label_{k}")
+        tested = pairs if tested is None else tested.union(pairs)
+        label = _joined(fresh, label, root, f"hubs_{k}")
+        # Only lists that still hold several components go on.
+        now = now.drop("g").join(mains.select("list"), F.col("t") == F.col("list"), "left_semi").join(label, F.col("c") == F.col("node"), "left")
+        now = store(now.select("t", "c", "n", "r", F.coalesce("label", "c").alias("g")), root, f"now_{k + 1}")
+        for done in (f"now_{k}" if k else "lists", f"mains_{k}"):
+            release(spark, f"{root}/{done}")
         k += 1
-        last = k >= HUB_ROUNDS or new <= FEW_LINKS * n_found
-    return rows.select("doc_id", "print", "n", "c"), classes, found
+        if new <= FEW_LINKS * n_found:
+            break
+    mains = store(_mains(now, k), root, f"mains_{k}")
+    left = store(_untested(_rest(now, mains), tested), root, "left")
+    for done in (f"now_{k}", f"mains_{k}", *(f"pairs_{j}" for j in range(k))):
+        release(spark, f"{root}/{done}")
+    for j, tried in enumerate((*TRIED, None)):
+        apart = store(_apart(left, label), root, f"apart_{j}")
+        if apart.isEmpty():
+            break
+        some = apart
+        if tried:
+            few = apart.groupBy("g", "h", F.pmod(F.xxhash64("u", "v"), F.lit(tried))).agg(F.max(F.struct("k", "u", "v")).alias("p"))
+            some = store(few.select("p.u", "p.v"), root, f"tried_{j}")
+            left = _untested(apart, some).select("u", "v", "k")
+        label = _joined(_links_of(some.select("u", "v"), docs, classes, collisions, root, f"rest_{j}"), label, root, f"rest_{j}")
+    return rows, classes, label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+
+
+def all_links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``links``, with every link (u, v) between different sets, once each."""
+    rows, classes, lists, collisions = _prepared(docs, root)
+    met = lists.alias("a").join(lists.alias("b"), F.expr(f"a.t = b.t and a.c < b.c and {_able('a', 'b')}"))
+    pairs = store(_pairs(met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"))), root, "pairs")
+    return rows, classes, _links_of(pairs, docs, classes, collisions, root, "all")
 
 
 def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, root: str) -> DataFrame:
@@ -364,16 +450,16 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, root: str) ->
     return some.union(none)
 
 
-def join_classes(docs: DataFrame, spanning: bool = False) -> DataFrame:
+def join_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and print (fingerprint of the text) for every row of ``docs`` (columns doc_id and text)."""
     root = shared_dir(docs.sparkSession)
-    return _named(*links(docs, root, spanning), root).drop("c")
+    return _named(*links(docs, root), root).drop("c")
 
 
 def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``join_classes`` with class_id (equal sets) and n_links (other rows that reach the similarity), and all links (u, v) between class ids."""
     root = shared_dir(docs.sparkSession)
-    rows, classes, found = links(docs, root)
+    rows, classes, found = all_links(docs, root)
     size = store(rows.where("n > 0").groupBy("c").agg(F.count("*").alias("members")), root, "sizes")
     both = found.union(found.select("v", "u")).toDF("class", "other")
     linked = both.join(size, F.col("other") == F.col("c")).groupBy("class").agg(F.sum("members").alias("linked"))
@@ -386,7 +472,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (ties: the smallest print of the text). Rows without words all stay."""
     kept_id, kept_print = free_name(docs, "kept_id"), free_name(docs, "kept_print")
     spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = join_classes(docs.select("doc_id", "text"), spanning=True).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.print").alias(kept_print))
+    first = join_classes(docs.select("doc_id", "text")).where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.print").alias(kept_print))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_print))
     kept = docs.where(spoken).join(first.distinct(), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where(~spoken))
