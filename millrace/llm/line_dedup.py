@@ -77,7 +77,7 @@ def _cuts(docs: DataFrame, root: str, single_words: int, single_chars: int, divi
     release(docs.sparkSession, f"{root}/lines")
     twice = chunks.groupBy("k1", "k2").agg(F.min(F.struct("id", "a")).alias("first"), F.max(F.struct("id", "a")).alias("last")).where("first < last").select("k1", "k2")
     suspects = chunks.join(twice, ["k1", "k2"]).groupBy("id", "print").agg(F.collect_set(F.struct("a", "places", "k1", "k2")).alias("chunks"))
-    texts = df.join(suspects, ["id", "print"]).select("id", "print", _lines(F.col("text")).alias("x"), F.explode("chunks").alias("k"))
+    texts = df.join(suspects.hint("merge"), ["id", "print"]).select("id", "print", _lines(F.col("text")).alias("x"), F.explode("chunks").alias("k"))
     texts = store(texts.select("id", "print", "k.*", F.array_join(F.transform("k.places", lambda i: F.get("x", i)), "\n").alias("bytes")), root, "texts")
     release(docs.sparkSession, f"{root}/chunks")
     first = texts.groupBy("k1", "k2").agg(F.min(F.struct("id", "a", "bytes")).alias("first"))
@@ -101,7 +101,7 @@ def dedupe_lines(docs: DataFrame, removed: str = "removed", **limits: int) -> Da
     kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col(gone))
     lines = _lines(F.col("text"))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = left.join(cut, [key, print_], "left")
+    joined = left.join(cut.hint("merge"), [key, print_], "left")  # one plan at every size; what is cut grows with the input
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(gone).alias(removed))
 
 
