@@ -187,7 +187,7 @@ def _calibrate(model: Model, rows: list[tuple[str, int]]) -> None:
             best, model.power, model.slope, model.intercept = loss, power, float(coef[0] / scale), float(coef[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 600) -> Model:
     """Learn from a bounded sample: about ``per_class`` labelled rows of each class, one text for an id, of those ``allowed``."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if allowed is not None:
