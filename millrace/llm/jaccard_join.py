@@ -13,7 +13,7 @@ set are left from it on: at the first shingle that two sets share, what both hav
 whose bound is too low is no candidate there.
 
 ``links`` scans the lists in rounds that find enough links to connect all classes that are linked. First the members of a list
-meet one hub, every class is compared with the hub it meets most often, and verified links join classes into components; lists
+meet a few hubs, every class is compared with the hub it meets most often, and verified links join classes into components; lists
 that hold a single component are done. When a round finds next to nothing, every member outside a list's largest component meets
 all members of other components. Of these pairs a few for any two components are verified first, those with most meetings; then
 all that still lie in different components. Every link between sets whose components are not known to be one is verified,
@@ -50,6 +50,8 @@ SMALL = 64
 COUNTED, REPORTED, FREQUENT = 1_000_000, 3, 1 << 18
 #: Postings of a frequent shingle that are sorted together; longer lists are cut by class.
 SPLIT = 50_000
+#: Members of a list that all others are compared with in a round.
+HUBS = 8
 #: Rounds of hubs end when one finds at most this share of all links found; no link is lost by it.
 FEW_LINKS = 0.01
 #: Pairs of any two components that are verified in each round before all are.
@@ -254,10 +256,10 @@ def boundary_by_cost(small: DataFrame, order: Broadcast) -> int:
     return min(range(most + 1), key=lambda b: (total(b), -b))
 
 
-def _lists(docs: DataFrame, small: DataFrame, frequent: list[tuple[int, int]], collisions: set[int], root: str) -> DataFrame:
+def _lists(docs: DataFrame, small: DataFrame, frequent: DataFrame, collisions: set[int], root: str) -> DataFrame:
     """The inverted lists with more than one class: t, c, n, r."""
-    known = sorted(frequent)
-    order = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in known], np.int64), np.array([k for _, k in known], np.int64)))
+    known = frequent.toArrow().sort_by("h")  # 16 bytes for each of FREQUENT at most
+    order = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(), known["k"].to_numpy()))
     boundary = boundary_by_cost(small, order)
     heavy = _postings(docs, order, boundary, collisions).repartition("t", "part").distinct()  # one shuffle serves the lists as well
     w = Window.partitionBy("t", "part")
@@ -300,16 +302,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _mains(now: DataFrame, k: int) -> DataFrame:
-    """For every list that holds several components: the largest (main; of equals another in every round k), and a member of it as the hub."""
+    """For every list that holds several components: the largest (main; of equals another in every round k) and up to HUBS members of it.
+
+    In round 0, where every class is a component, there is no main and the hubs are any members.
+    """
     draw = lambda c: F.xxhash64(c, F.lit(k))
-    parts = now.groupBy("t", "g").agg(F.count("*").alias("k"), F.min(F.struct(draw("c").alias("draw"), "c", "n", "r")).alias("m"))
-    lists = parts.groupBy("t").agg(F.max(F.struct("k", draw("g").alias("draw"), "g", "m")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return lists.select(F.col("t").alias("list"), F.col("top.g").alias("main"), F.col("top.m").alias("hub"))
+    g = F.col("g") if k else F.lit(None).cast("long")
+    some = now.groupBy("t", g.alias("g"), F.pmod(draw("c"), F.lit(HUBS)).alias("b")).agg(F.count("*").alias("k"), F.min(F.struct(draw("c").alias("draw"), "c", "n", "r")).alias("m"))
+    parts = some.groupBy("t", "g").agg(F.sum("k").alias("k"), F.array_sort(F.collect_list("m")).alias("hubs"))  # HUBS of them at most
+    lists = parts.groupBy("t").agg(F.max(F.struct("k", draw("g").alias("draw"), "g", "hubs")).alias("top"), F.count("*").alias("parts"))
+    return lists.where("parts > 1" if k else "top.k > 1").select(F.col("t").alias("list"), F.col("top.g").alias("main"), F.col("top.hubs").alias("hubs"))
 
 
 def _hubs(now: DataFrame, mains: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Every member outside the main component of a list with one hub: the one that it meets in the most lists, of those not tested with it."""
-    met = now.alias("a").join(mains.alias("b"), F.expr(f"a.t = b.list and a.g <> b.main and {_able('a', 'b.hub')}"))
+    each = mains.select("list", "main", F.explode("hubs").alias("hub"))
+    met = now.alias("a").join(each.alias("b"), F.expr(f"a.t = b.list and not a.g <=> b.main and a.c <> b.hub.c and {_able('a', 'b.hub')}"))
     often = met.groupBy(F.col("a.c").alias("x"), F.col("b.hub.c").alias("y")).agg(F.count("*").alias("k"))
     often = _untested(often.select("x", "y", "k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), tested)
     return _pairs(often.groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
@@ -371,7 +379,7 @@ def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
     frequent = made.where("kind = 1").groupBy(F.col("p1").alias("h")).agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "h").limit(FREQUENT)
     classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")), root, "ids")
     small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).groupBy("c").agg(F.min("n").alias("n"), F.min("small").alias("small"))
-    lists = _lists(docs, store(small, root, "small"), [(r["h"], r["k"]) for r in frequent.collect()], collisions, root)
+    lists = _lists(docs, store(small, root, "small"), frequent, collisions, root)
     return rows.drop("small"), classes, lists, collisions
 
 
@@ -394,7 +402,7 @@ def _joined(fresh: DataFrame, label: DataFrame | None, root: str, name: str) ->
 
 
 def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, print, n, c), classes (c, first) and links (u, v), or stars in their place, that connect all classes that are linked."""
+    """Rows (doc_id, print, n, c), classes (c, first) and the components (node, label) of all classes that are linked."""
     spark = docs.sparkSession
     rows, classes, lists, collisions = _prepared(docs, root)
     now, label, tested, n_found, k = lists.withColumn("g", F.col("c")), None, None, 0, 0
@@ -428,19 +436,18 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
             some = store(few.select("p.u", "p.v"), root, f"tried_{j}")
             left = _untested(apart, some).select("u", "v", "k")
         label = _joined(_links_of(some.select("u", "v"), docs, classes, collisions, root, f"rest_{j}"), label, root, f"rest_{j}")
-    return rows, classes, label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return rows, classes, label
 
 
 def all_links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ``links``, with every link (u, v) between different sets, once each."""
+    """As ``links``, but every link (u, v) between different sets, once each, in place of the components."""
     rows, classes, lists, collisions = _prepared(docs, root)
     met = lists.alias("a").join(lists.alias("b"), F.expr(f"a.t = b.t and a.c < b.c and {_able('a', 'b')}"))
     pairs = store(_pairs(met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"))), root, "pairs")
     return rows, classes, _links_of(pairs, docs, classes, collisions, root, "all")
 
 
-def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, root: str) -> DataFrame:
-    label = components(found, root)
+def _named(rows: DataFrame, classes: DataFrame, label: DataFrame, root: str) -> DataFrame:
     named = classes.join(label, classes.c == label.node, "left").select("c", "first", F.coalesce("label", "c").alias("g"))
     named = store(named, root, "classes")
     lowest = named.groupBy("g").agg(F.min("first").alias("component_id"))
@@ -464,7 +471,7 @@ def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = found.union(found.select("v", "u")).toDF("class", "other")
     linked = both.join(size, F.col("other") == F.col("c")).groupBy("class").agg(F.sum("members").alias("linked"))
     counted = size.join(linked, F.col("c") == F.col("class"), "left").select(F.col("c").alias("class_id"), (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
-    out = _named(rows, classes, found, root).withColumnRenamed("c", "class_id").join(counted, "class_id", "left")
+    out = _named(rows, classes, components(found, root), root).withColumnRenamed("c", "class_id").join(counted, "class_id", "left")
     return out.select("doc_id", "n_shingles", "component_id", "print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), found
 
 
