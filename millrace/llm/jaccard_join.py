@@ -298,7 +298,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = pairs.join(sets.select(F.col("c").alias("u"), F.col("s").alias("s_u")), "u")
     two = one.join(sets.select(F.col("c").alias("v"), F.col("s").alias("s_v")), "v")
     common = two.select("u", "v", F.size(F.array_intersect("s_u", "s_v")).alias("x"), (F.size("s_u") + F.size("s_v")).alias("both"))
-    return common.where(f"{WHOLE} * x >= {PART} * (both - x)").select("u", "v")
+    return common.where(f"{WHOLE} * x >= {PART} * (both - x)").select("u", "v").distinct()
 
 
 def _mains(now: DataFrame, k: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFrame:
-    """c and s (its shingles) for the wanted classes (c, and first: a document of each)."""
+    """c and s (its shingles) for the wanted classes (c, and first: a document of each); again where several rows have that id and text."""
     wanted = wanted.select(F.col("c").alias("wanted"), "first")
     if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
@@ -363,7 +363,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFr
                 offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], ["c", "s"])
 
-    return chosen.mapInArrow(run, "c long, s array<long>").dropDuplicates(["c"])
+    return chosen.mapInArrow(run, "c long, s array<long>")
 
 
 def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, set[int]]:
