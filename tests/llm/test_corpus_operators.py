@@ -126,22 +126,28 @@ def test_toxicity_exceptions_spare_hits():
     assert many.raw(finder, "b a trash bin c d, the TRASH can")[0] == 0 and many.raw(finder, "trashy trash")[0] == 5.0
 
 
-def test_toxicity_learns_stems_and_exceptions():
-    """Words that begin with a stem are toxic; the stem inside other words is not, and one innocent word begins with it."""
+def test_toxicity_learns_stems():
+    """Words that begin with a stem are toxic; the stem inside other words is not."""
     r, rows = random.Random(2), []
     for i in range(300):
         words = prose(60, 4000 + i).split()
         toxic = i % 5 == 0
         for _ in range(3):
-            words.insert(r.randrange(len(words)), ("zork" if toxic else "hazork") + r.choice(["ab", "eg", "ud", "if", "oh"]))
-        if i % 4 == 1 and not toxic:
-            words.insert(r.randrange(len(words)), "zorkville")
+            words.insert(r.randrange(len(words)), ("zork" if toxic else "hazork") + "".join(r.choice("abdefgiou") for _ in range(4)))
         rows.append((" ".join(words), int(toxic)))
     model = toxicity.learn(rows)
     finder = model.automaton()
-    assert " zork" in "".join(model.weights) and any("zorkv" in e for e in model.exceptions)
     s = lambda t: model.score(*model.raw(finder, t)) >= toxicity.THRESHOLD
-    assert s(prose(40, 1) + " Z0rkeg zorkud") and not s(prose(40, 1) + " zorkville hazorkeg")
+    assert " zork" in model.weights and s(prose(40, 1) + " Z0rkogag zorkadde") and not s(prose(40, 1) + " hazorkogag")
+
+
+def test_toxicity_learns_exceptions():
+    model = toxicity.Model({" zork": 5.0})
+    texts = [toxicity.fold(t) for t in ("a Zorkville b", "in zorkville", "big zork tree", "the big zork", "big zork", "you zork", "zorkan x", "zorkan y")]
+    toxicity._exceptions(model, texts, [0, 0, 0, 0, 0, 1, 0, 1])
+    assert model.exceptions == ["big zork", "zorkviiie"]
+    finder = model.automaton()
+    assert model.raw(finder, "Zorkville, a big zork")[0] == 0 and model.raw(finder, "zork zorkan")[0] == 10.0
 
 
 def test_toxicity_without_both_classes():
