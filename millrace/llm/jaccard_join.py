@@ -10,7 +10,9 @@ Texts become sets of word shingles (64-bit fingerprints). Equal sets form one cl
 The boundary is the one of least cost, measured on the lists that the small sets themselves make. Corpus-wide counts put
 frequent shingles last in the order, so that common passages open no lists. Every posting carries how many shingles of its
 set are left from it on: at the first shingle that two sets share, what both have left bounds what they share, so a meeting
-whose bound is too low is no candidate there.
+whose bound is too low is no candidate there. Lists of the same members count as one (a shared passage opens as many as it
+has shingles). Before sets are fetched, bit sketches of both bound what a pair can share from above, so that only pairs near the
+similarity are verified.
 
 ``links`` scans the lists in rounds that find enough links to connect all classes that are linked. First the members of a list
 meet a few hubs, every class is compared with the hub it meets most often, and verified links join classes into components; lists
@@ -58,6 +60,8 @@ FEW_LINKS = 0.01
 TRIED = (1, 16)
 #: Subsets for each posting up to which enumeration is measured.
 DEARER = 2
+#: Links between components that the driver joins by itself (16 bytes each); more are joined by star steps.
+LOCAL_LINKS = 1 << 17
 #: Classes whose sets are fetched by broadcasting their ids (8 bytes and a document's id each); more are shuffled.
 BROADCAST_CLASSES = 200_000
 
@@ -106,6 +110,18 @@ def prints(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """One bit, whether an odd number of shingles fall there, for each of 2 n to 4 n places (a power of two, 64 at least)."""
+    places = 1 << max(6, (2 * len(found) - 1).bit_length())
+    return np.packbits((np.bincount(found & (places - 1), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def apart_by_sketch(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only: places where their sketches differ, the longer folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def needed(n: int, m: int) -> int:
     """Shingles that sets of n and m must share at least."""
     return -(-PART * (n + m) // (PART + WHOLE))
@@ -125,23 +141,23 @@ def subset_keys(found: np.ndarray, sizes: list[int]) -> list[int]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: a document's id, its text's print, set size, prints and, if small, its set. Rows of kind 1: a frequent shingle and a count of it."""
+    """Rows of kind 0: a document's id, its text's print, set size, prints, sketch and, if small, its set. Rows of kind 1: a frequent shingle and a count of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "print", "n", "p1", "p2", "small"]
+        names = ["kind", "doc_id", "print", "n", "p1", "p2", "small", "sketch"]
         held, amount, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             h, k = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             h, k = h[k >= REPORTED], k[k >= REPORTED]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, none, pa.array(k.astype(np.int32)), pa.array(h), none, pa.nulls(len(h), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, none, pa.array(k.astype(np.int32)), pa.array(h), none, pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names)
 
         for batch in batches:
             for part in steps(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 both = [prints(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names)
                 for s, p in zip(sets, both):
                     if p not in seen:
                         seen.add(p)
@@ -152,7 +168,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     held, amount, seen = [], 0, set()
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(run, "kind int, doc_id long, print long, n int, p1 long, p2 long, small binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(run, "kind int, doc_id long, print long, n int, p1 long, p2 long, small binary, sketch binary")
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,26 +273,28 @@ def boundary_by_cost(small: DataFrame, order: Broadcast) -> int:
 
 
 def _lists(docs: DataFrame, small: DataFrame, frequent: DataFrame, collisions: set[int], root: str) -> DataFrame:
-    """The inverted lists with more than one class: t, c, n, r."""
+    """The inverted lists with more than one class: t, c, n, r and k (how many lists of the same members it stands for)."""
     known = frequent.toArrow().sort_by("h")  # 16 bytes for each of FREQUENT at most
     order = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(), known["k"].to_numpy()))
     boundary = boundary_by_cost(small, order)
     heavy = _postings(docs, order, boundary, collisions).repartition("t", "part").distinct()  # one shuffle serves the lists as well
     w = Window.partitionBy("t", "part")
     heavy = heavy.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).withColumn("parts", F.max("part").over(w))
-    heavy = heavy.where("lo <> hi or parts > 0").select("t", "c", "n", "r")
+    # Lists of the same members become one at its first shingle, where most is left of each; uncut ones only, as no other shows all its members.
+    members = F.when(F.col("parts") > 0, F.col("t")).otherwise(F.bit_xor(F.xxhash64("c")).over(w))
+    heavy = heavy.withColumn("t", members).where("lo <> hi or parts > 0").groupBy("t", "c").agg(F.min("n").alias("n"), F.max("r").alias("r"), F.count("*").alias("k"))
     if not boundary:
         return _alive(store(heavy, root, "met"), root)
     keys = store(_enumerated(small, boundary).drop("way"), root, "subsets")
     shared = keys.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("t").alias("key"))
-    light = keys.join(shared, F.col("t") == F.col("key")).select("t", "c", "n", F.col("n").alias("r"))
+    light = keys.join(shared, F.col("t") == F.col("key")).select("t", "c", "n", F.col("n").alias("r"), F.lit(1).cast("long").alias("k"))
     return _alive(store(heavy.union(light), root, "met"), root)
 
 
 def _alive(lists: DataFrame, root: str) -> DataFrame:
     """Postings that some other member of their list may reach; most lists of two or three hold none."""
     other = lists.select(F.col("t").alias("at"), F.struct("c", "n", "r").alias("b"))
-    one = lists.select("t", F.struct("c", "n", "r").alias("a")).join(other, F.expr(f"t = at and a.c <> b.c and {_able('a', 'b')}"), "left_semi")
+    one = lists.select("t", F.struct("c", "n", "r", "k").alias("a")).join(other, F.expr(f"t = at and a.c <> b.c and {_able('a', 'b')}"), "left_semi")
     out = store(one.select("t", "a.*"), root, "lists")
     release(lists.sparkSession, f"{root}/met")
     return out
@@ -318,7 +336,7 @@ def _hubs(now: DataFrame, mains: DataFrame, tested: DataFrame | None) -> DataFra
     """Every member outside the main component of a list with one hub: the one that it meets in the most lists, of those not tested with it."""
     each = mains.select("list", "main", F.explode("hubs").alias("hub"))
     met = now.alias("a").join(each.alias("b"), F.expr(f"a.t = b.list and not a.g <=> b.main and a.c <> b.hub.c and {_able('a', 'b.hub')}"))
-    often = met.groupBy(F.col("a.c").alias("x"), F.col("b.hub.c").alias("y")).agg(F.count("*").alias("k"))
+    often = met.groupBy(F.col("a.c").alias("x"), F.col("b.hub.c").alias("y")).agg(F.sum("a.k").alias("k"))
     often = _untested(often.select("x", "y", "k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), tested)
     return _pairs(often.groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
 
@@ -329,9 +347,9 @@ def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 
 def _rest(now: DataFrame, mains: DataFrame) -> DataFrame:
     """Members outside the main component of a list with all members of other components that they may reach: u < v and k, their meetings."""
-    outside = now.join(mains.select("list", "main"), F.expr("t = list and g <> main")).select(F.col("t").alias("at"), "c", "n", "r", "g", "main")
+    outside = now.join(mains.select("list", "main"), F.expr("t = list and g <> main")).select(F.col("t").alias("at"), "c", "n", "r", "k", "g", "main")
     met = outside.alias("a").join(now.alias("b"), F.expr(f"a.at = b.t and a.g <> b.g and (b.g = a.main or a.c < b.c) and {_able('a', 'b')}"))
-    return met.groupBy(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).agg(F.count("*").alias("k"))
+    return met.groupBy(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).agg(F.sum("a.k").alias("k"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -367,7 +385,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFr
 
 
 def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, set[int]]:
-    """Rows (doc_id, print, n, c), classes (c, first: its smallest id), lists (t, c, n, r) and colliding prints."""
+    """Rows (doc_id, print, n, c), classes (c, first: its smallest id, n, sketch), lists (t, c, n, r, k) and colliding prints."""
     made = store(_sets(docs), root, "sets")
     known = made.where("kind = 0")
     twice = known.where("n > 0").groupBy("p1").agg(F.min("p2").alias("a"), F.max("p2").alias("b")).where("a <> b").select("p1").limit(10_001).collect()
@@ -375,30 +393,78 @@ def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
         raise ValueError("too many hash collisions")
     collisions = {r[0] for r in twice}
     c = F.when(F.col("p1").isin(list(collisions)), F.col("p2")).otherwise(F.col("p1")) if collisions else F.col("p1")
-    rows = known.select("doc_id", "print", "n", c.alias("c"), "small")
+    rows = known.select("doc_id", "print", "n", c.alias("c"), "small", "sketch")
     frequent = made.where("kind = 1").groupBy(F.col("p1").alias("h")).agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "h").limit(FREQUENT)
-    classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")), root, "ids")
+    classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), root, "ids")
     small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).groupBy("c").agg(F.min("n").alias("n"), F.min("small").alias("small"))
     lists = _lists(docs, store(small, root, "small"), frequent, collisions, root)
-    return rows.drop("small"), classes, lists, collisions
+    return rows.drop("small", "sketch"), classes, lists, collisions
+
+
+def _of(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the classes that are in one of the (stored) pairs (u, v)."""
+    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+    return classes.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted, "c")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, root: str, name: str) -> DataFrame:
+    """Those of the (stored) pairs that may reach the similarity by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *_, n, m, a, b = (x.to_pylist() for x in batch.columns)
+            keep = [apart_by_sketch(x, y) <= i + j - 2 * needed(i, j) for i, j, x, y in zip(n, m, a, b)]
+            yield batch.select(pairs_columns).filter(pa.array(keep, pa.bool_()))
+
+    pairs_columns = pairs.columns
+    known = store(_of(classes, pairs).select("c", "n", "sketch"), root, f"sketches_{name}")
+    one = pairs.join(known.toDF("u", "n_u", "sketch_u"), "u").join(known.toDF("v", "n_v", "sketch_v"), "v")
+    out = store(one.select(*pairs_columns, "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, pairs.schema), root, f"possible_{name}")
+    release(pairs.sparkSession, f"{root}/sketches_{name}")
+    return out
 
 
 def _links_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, collisions: set[int], root: str, name: str) -> DataFrame:
-    """Those of the pairs (u, v) that reach the similarity; the sets of the classes in them are made anew from their texts."""
-    wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes, "c")
-    sets = store(_fetched(docs, store(wanted, root, f"wanted_{name}"), collisions), root, f"sets_{name}")
+    """Those of the (stored) pairs (u, v) that reach the similarity; the sets of the classes in them are made anew from their texts."""
+    sets = store(_fetched(docs, store(_of(classes, pairs).select("c", "first"), root, f"wanted_{name}"), collisions), root, f"sets_{name}")
     out = store(_verified(pairs, sets), root, f"links_{name}")
     for done in (f"wanted_{name}", f"sets_{name}"):
         release(docs.sparkSession, f"{root}/{done}")
     return out
 
 
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (u, v), and for each the smallest that it reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while (least[x] != least[y]).any():
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, least[x], low)
+        np.minimum.at(least, least[y], low)
+        while (least[least] != least).any():
+            least = least[least]
+    return nodes, nodes[least]
+
+
 def _joined(fresh: DataFrame, label: DataFrame | None, root: str, name: str) -> DataFrame:
-    """Components after new links; earlier ones are kept as the stars of their components."""
-    if label is not None and fresh.isEmpty():
+    """Components (node, label) after new links, which join those there were."""
+    if label is not None:
+        fresh = _apart(fresh.withColumn("k", F.lit(0)), label).select(F.col("g").alias("u"), F.col("h").alias("v")).distinct()
+    between = store(fresh.select("u", "v"), root, f"between_{name}")
+    n = between.count()
+    if label is not None and not n:
         return label
-    found = fresh if label is None else fresh.union(label.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    return store(components(found, root, f"star_{name}"), root, f"label_{name}")
+    if n <= LOCAL_LINKS:
+        found = between.toArrow()
+        node, least = least_reachable(found["u"].to_numpy(), found["v"].to_numpy())
+        star = between.sparkSession.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(least, pa.int64())}))
+    else:
+        star = components(between, root, f"star_{name}")
+    if label is not None:
+        moved = label.join(star.toDF("from", "to"), F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+        star = moved.union(star.join(label.select("node"), "node", "left_anti"))
+    return store(star, root, f"label_{name}")
 
 
 def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -409,21 +475,21 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     while True:
         mains = store(_mains(now, k), root, f"mains_{k}")
         pairs = store(_hubs(now, mains, tested), root, f"pairs_{k}")
-        fresh = _links_of(pairs, docs, classes, collisions, root, f"hubs_{k}")
+        fresh = _links_of(_possible(pairs, classes, root, f"hubs_{k}"), docs, classes, collisions, root, f"hubs_{k}")
         new = fresh.count()
         n_found += new
         tested = pairs if tested is None else tested.union(pairs)
         label = _joined(fresh, label, root, f"hubs_{k}")
         # Only lists that still hold several components go on.
         now = now.drop("g").join(mains.select("list"), F.col("t") == F.col("list"), "left_semi").join(label, F.col("c") == F.col("node"), "left")
-        now = store(now.select("t", "c", "n", "r", F.coalesce("label", "c").alias("g")), root, f"now_{k + 1}")
+        now = store(now.select("t", "c", "n", "r", "k", F.coalesce("label", "c").alias("g")), root, f"now_{k + 1}")
         for done in (f"now_{k}" if k else "lists", f"mains_{k}"):
             release(spark, f"{root}/{done}")
         k += 1
         if new <= FEW_LINKS * n_found:
             break
     mains = store(_mains(now, k), root, f"mains_{k}")
-    left = store(_untested(_rest(now, mains), tested), root, "left")
+    left = _possible(store(_untested(_rest(now, mains), tested), root, "left"), classes, root, "left")
     for done in (f"now_{k}", f"mains_{k}", *(f"pairs_{j}" for j in range(k))):
         release(spark, f"{root}/{done}")
     for j, tried in enumerate((*TRIED, None)):
@@ -444,7 +510,7 @@ def all_links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
     rows, classes, lists, collisions = _prepared(docs, root)
     met = lists.alias("a").join(lists.alias("b"), F.expr(f"a.t = b.t and a.c < b.c and {_able('a', 'b')}"))
     pairs = store(_pairs(met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"))), root, "pairs")
-    return rows, classes, _links_of(pairs, docs, classes, collisions, root, "all")
+    return rows, classes, _links_of(_possible(pairs, classes, root, "all"), docs, classes, collisions, root, "all")
 
 
 def _named(rows: DataFrame, classes: DataFrame, label: DataFrame, root: str) -> DataFrame:

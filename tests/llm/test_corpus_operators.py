@@ -628,6 +628,47 @@ def test_jaccard_join_loses_no_link(spark, monkeypatch, boundary):
     assert len(pairs) == len(set(pairs)) == sum(near(a, b) for a, b in itertools.combinations(kinds, 2))
 
 
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 40, 300, 2000):
+        for share, m in itertools.product((0, 0.5, 0.75, 0.9, 1), (n, n + n // 4)):
+            both = r.integers(-(2**63), 2**63 - 1, n + m)
+            a, b = both[:n], np.concatenate([both[: int(share * n)], both[n : n + m - int(share * n)]])
+            differ = len(np.setxor1d(a, b))
+            got = jaccard_join.apart_by_sketch(jaccard_join.sketch(a), jaccard_join.sketch(b))
+            assert got == jaccard_join.apart_by_sketch(jaccard_join.sketch(b), jaccard_join.sketch(a)) and differ / 3 <= got <= differ and (differ - got) % 2 == 0
+
+
+def test_least_reachable_is_the_component():
+    r = np.random.default_rng(6)
+    u, v = r.integers(-60, 60, 50), r.integers(-60, 60, 50)
+    u, v = np.concatenate([u, np.arange(100, 400)]), np.concatenate([v, np.arange(101, 401)])
+    want = {int(x): int(x) for x in [*u, *v]}
+    for _ in range(len(want)):
+        for x, y in zip(u.tolist(), v.tolist()):
+            want[x] = want[y] = min(want[x], want[y])
+    assert dict(zip(*(x.tolist() for x in jaccard_join.least_reachable(u, v)))) == want
+
+
+def test_unlike_texts_of_one_passage_open_one_list_and_fetch_no_sets(spark, monkeypatch):
+    """Texts that share two thirds meet in many lists of the same members; their sketches show that none is linked."""
+    passage, fetched = prose(400, 41), []
+    texts = [passage + " " + prose(90, 4000 + k) + " " + prose(90, 4100 + k) for k in range(8)]
+    lists = jaccard_join._prepared(frame(spark, texts), shared_dir(spark))[2].collect()
+    assert len({r.t for r in lists}) <= 1 and len(lists) <= 8
+    links_of = jaccard_join._links_of
+    monkeypatch.setattr(jaccard_join, "_links_of", lambda pairs, *rest: fetched.append(pairs.count()) or links_of(pairs, *rest))
+    assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == brute_components(texts)
+    assert sum(fetched) == 0
+
+
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_components_of_rounds_join_in_the_driver_or_by_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(jaccard_join, "LOCAL_LINKS", local)
+    texts = near_copies()
+    assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == brute_components(texts)
+
+
 def test_jaccard_survivors(spark):
     texts = near_copies()
     want = {c for i, n, c in brute_components(texts) if n} | {i for i, n, c in brute_components(texts) if not n}
