@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, steps, table, with_field, without
+from .common import cache, free_name, lean, steps, table, with_field, without
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NO_RANK = np.int32(2**31 - 1)
@@ -97,7 +97,7 @@ POWER = np.uint64(0x9E3779B97F4A7C15)
 POWER_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = cache("powers")
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -370,7 +370,7 @@ class ByteBpe:
         return self.blob[shift + np.arange(len(shift))], lens
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
+_loaded: dict[tuple[str, str], ByteBpe] = cache("tokenizers")
 
 
 def tokenizer(path: str | None = None, pattern: str | None = None) -> ByteBpe:
@@ -395,7 +395,7 @@ def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: s
                 made = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, output])
 
-    return df.mapInArrow(run, with_field(df.schema, T.StructField(output, T.ArrayType(T.IntegerType()))))
+    return df.mapInArrow(lean(run, "tokenizers"), with_field(df.schema, T.StructField(output, T.ArrayType(T.IntegerType()))))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -418,7 +418,7 @@ def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path:
                     made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, output])
 
-    return df.mapInArrow(run, with_field(df.schema, T.StructField(output, T.BinaryType())))
+    return df.mapInArrow(lean(run, "tokenizers"), with_field(df.schema, T.StructField(output, T.BinaryType())))
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,36 @@ def stratified(df: DataFrame, stratum: str, key: Column, per_stratum: int, text:
     return df.where(draw < share)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What a worker keeps from task to task, as long as they name it to ``lean``."""
+    return _caches.setdefault(name, {})
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when a task ends, its worker, which waits for the next one, gives back freed memory and all caches but one."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keep)
+
+    return kept
+
+
+def give_back(keep: str = "") -> None:
+    for name in _caches.keys() - {keep}:
+        _caches[name].clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts in ``column`` together stay near STEP_CHARS."""
     sizes = batch.column(column).cast(pa.large_binary()) if not pa.types.is_binary(batch.schema.field(column).type) else batch.column(column)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import POWER, POWER_INVERSE, powers
-from .common import free_name, release, shared_dir, steps, store, table
+from .common import free_name, lean, release, shared_dir, steps, store, table
 from .components import components
 
 SHINGLE = 5
@@ -54,6 +54,8 @@ COUNTED, REPORTED, FREQUENT = 1_000_000, 3, 1 << 18
 SPLIT = 50_000
 #: Members of a list that all others are compared with in a round.
 HUBS = 8
+#: Hubs that a class is compared with in a round after the first, by their sketches.
+TRIES = 4
 #: Rounds of hubs end when one finds at most this share of all links found; no link is lost by it.
 FEW_LINKS = 0.01
 #: Pairs of any two components that are verified in each round before all are.
@@ -65,6 +67,9 @@ LOCAL_LINKS = 1 << 17
 #: Classes whose sets are fetched by broadcasting their ids (8 bytes and a document's id each); more are shuffled.
 BROADCAST_CLASSES = 200_000
 
+#: Columns of a folded sketch.
+FOLDED = ["f0", "f1", "f2", "f3"]
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -111,8 +116,8 @@ def prints(found: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """One bit, whether an odd number of shingles fall there, for each of 2 n to 4 n places (a power of two, 64 at least)."""
-    places = 1 << max(6, (2 * len(found) - 1).bit_length())
+    """One bit, whether an odd number of shingles fall there, for each of 2 n to 4 n places (a power of two, 256 at least)."""
+    places = 1 << max(8, (2 * len(found) - 1).bit_length())
     return np.packbits((np.bincount(found & (places - 1), minlength=places) & 1).astype(np.uint8)).tobytes()
 
 
@@ -122,6 +127,11 @@ def apart_by_sketch(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+def folded(a: bytes) -> np.ndarray:
+    """A sketch folded to its least length, in four words."""
+    return np.bitwise_xor.reduce(np.frombuffer(a, np.int64).reshape(-1, 4), axis=0)
+
+
 def needed(n: int, m: int) -> int:
     """Shingles that sets of n and m must share at least."""
     return -(-PART * (n + m) // (PART + WHOLE))
@@ -141,23 +151,25 @@ def subset_keys(found: np.ndarray, sizes: list[int]) -> list[int]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: a document's id, its text's print, set size, prints, sketch and, if small, its set. Rows of kind 1: a frequent shingle and a count of it."""
+    """Rows of kind 0: a document's id, its text's print, set size, prints, sketch (also folded) and, if small, its set. Rows of kind 1: a frequent shingle and a count of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "print", "n", "p1", "p2", "small", "sketch"]
+        names = ["kind", "doc_id", "print", "n", "p1", "p2", "small", "sketch", *FOLDED]
         held, amount, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             h, k = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             h, k = h[k >= REPORTED], k[k >= REPORTED]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, none, pa.array(k.astype(np.int32)), pa.array(h), none, pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, none, pa.array(k.astype(np.int32)), pa.array(h), none, pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary()), none, none, none, none], names)
 
         for batch in batches:
             for part in steps(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 both = [prints(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names)
+                sketches = [sketch(s) for s in sets]
+                fold = np.array([folded(x) for x in sketches]).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([p for p, _ in both], pa.int64()), pa.array([p for _, p in both], pa.int64()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary()), pa.array(sketches, pa.binary()), *[pa.array(fold[:, j]) for j in range(4)]], names)
                 for s, p in zip(sets, both):
                     if p not in seen:
                         seen.add(p)
@@ -168,7 +180,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     held, amount, seen = [], 0, set()
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(run, "kind int, doc_id long, print long, n int, p1 long, p2 long, small binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(lean(run), "kind int, doc_id long, print long, n int, p1 long, p2 long, small binary, sketch binary, f0 long, f1 long, f2 long, f3 long")
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +197,7 @@ def prefix(s: np.ndarray, hot: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
 
 
 def _postings(docs: DataFrame, order: Broadcast, boundary: int, collisions: set[int]) -> DataFrame:
-    """t (a shingle of a prefix), c (class), n (its size), r (its shingles from t on, in order) and part (of a long list)."""
+    """t (a shingle of a prefix), c (class), n (its size), r (its shingles from t on, in order) and part (0, or from 1 on of a long list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = order.value
@@ -210,11 +222,12 @@ def _postings(docs: DataFrame, order: Broadcast, boundary: int, collisions: set[
                     c.append(np.full(k, p, np.int64))
                     n.append(np.full(k, size, np.int32))
                     r.append(np.arange(size, size - k, -1, dtype=np.int32))
-                    part.append((np.uint64(p & (2**64 - 1)) % (often // SPLIT + 1).astype(np.uint64)).astype(np.int32))
+                    parts = often // SPLIT + 1
+                    part.append(np.where(parts > 1, 1 + (np.uint64(p & (2**64 - 1)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32))
                 flat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]))
                 yield pa.RecordBatch.from_arrays([flat(t, np.int64), flat(c, np.int64), flat(n, np.int32), flat(r, np.int32), flat(part, np.int32)], ["t", "c", "n", "r", "part"])
 
-    return docs.select("text").mapInArrow(run, "t long, c long, n int, r int, part int")
+    return docs.select("text").mapInArrow(lean(run), "t long, c long, n int, r int, part int")
 
 
 def _enumerated(small: DataFrame, boundary: int) -> DataFrame:
@@ -234,7 +247,7 @@ def _enumerated(small: DataFrame, boundary: int) -> DataFrame:
                         way += [w] * len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(way, pa.int32())], ["t", "c", "n", "way"])
 
-    return small.where(F.col("n") <= boundary).select("c", "n", "small").mapInArrow(run, "t long, c long, n int, way int")
+    return small.where(F.col("n") <= boundary).select("c", "n", "small").mapInArrow(lean(run), "t long, c long, n int, way int")
 
 
 def boundary_by_cost(small: DataFrame, order: Broadcast) -> int:
@@ -259,7 +272,7 @@ def boundary_by_cost(small: DataFrame, order: Broadcast) -> int:
         return {tuple(r)[:-2]: (int(r["rows"]), int(r["cost"])) for r in rows.collect()}
 
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
-    by_list = {k[0]: v for k, v in costs(small.select("n", "small").mapInArrow(prefixes, "n int, t long")).items()}
+    by_list = {k[0]: v for k, v in costs(small.select("n", "small").mapInArrow(lean(prefixes), "n int, t long")).items()}
     most, bound = 0, DEARER * sum(rows for rows, _ in by_list.values())
     while most < SMALL and sum(sizes.get(n, 0) * math.comb(n, w) for n in range(1, most + 2) for w in subset_sizes(n, most + 1)) <= bound:
         most += 1
@@ -292,11 +305,15 @@ def _lists(docs: DataFrame, small: DataFrame, frequent: DataFrame, collisions: s
 
 
 def _alive(lists: DataFrame, root: str) -> DataFrame:
-    """Postings that some other member of their list may reach; most lists of two or three hold none."""
+    """Postings that some other member of their list may reach (most lists of two or three hold none), and lists that have the same members then as one."""
     other = lists.select(F.col("t").alias("at"), F.struct("c", "n", "r").alias("b"))
     one = lists.select("t", F.struct("c", "n", "r", "k").alias("a")).join(other, F.expr(f"t = at and a.c <> b.c and {_able('a', 'b')}"), "left_semi")
-    out = store(one.select("t", "a.*"), root, "lists")
-    release(lists.sparkSession, f"{root}/met")
+    alive = store(one.select("t", "a.*"), root, "alive")
+    members = alive.groupBy("t").agg(F.bit_xor(F.xxhash64("c")).alias("members")).withColumnRenamed("t", "at")
+    merged = alive.join(members, F.col("t") == F.col("at")).groupBy(F.col("members").alias("t"), "c").agg(F.min("n").alias("n"), F.max("r").alias("r"), F.sum("k").alias("k"))
+    out = store(merged, root, "lists")
+    for done in ("met", "alive"):
+        release(lists.sparkSession, f"{root}/{done}")
     return out
 
 
@@ -306,6 +323,12 @@ def _able(x: str, y: str) -> str:
     return f"{WHOLE} * least({n}, {m}) >= {PART} * greatest({n}, {m}) and {PART + WHOLE} * least({x}.r, {y}.r) >= {PART} * ({n} + {m})"
 
 
+def _alike(x: str, y: str) -> str:
+    """Members that may reach the similarity by their folded sketches."""
+    both = f"({x}.n + {y}.n)"
+    return f"{PART + WHOLE} * ({both} - {' - '.join(f'bit_count({x}.{f} ^ {y}.{f})' for f in FOLDED)}) >= {2 * PART} * {both}"
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """Distinct pairs (u < v) of met classes (x, y)."""
     return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
@@ -333,22 +356,27 @@ def _mains(now: DataFrame, k: int) -> DataFrame:
 
 
 def _hubs(now: DataFrame, mains: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Every member outside the main component of a list with one hub: the one that it meets in the most lists, of those not tested with it."""
+    """Every member outside the main component of a list with hubs: those that it meets in the most lists, of those not tested with it; one in the first round, TRIES later."""
     each = mains.select("list", "main", F.explode("hubs").alias("hub"))
     met = now.alias("a").join(each.alias("b"), F.expr(f"a.t = b.list and not a.g <=> b.main and a.c <> b.hub.c and {_able('a', 'b.hub')}"))
     often = met.groupBy(F.col("a.c").alias("x"), F.col("b.hub.c").alias("y")).agg(F.sum("a.k").alias("k"))
     often = _untested(often.select("x", "y", "k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), tested)
-    return _pairs(often.groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
+    if tested is None:
+        return _pairs(often.groupBy("x").agg(F.max(F.struct("k", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
+    best = often.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "y")), asc=False), 1, TRIES).alias("b"))  # HUBS of each of its lists at most
+    return _pairs(best.select("x", F.explode("b.y").alias("y")))
 
 
 def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
 
 
-def _rest(now: DataFrame, mains: DataFrame) -> DataFrame:
+def _rest(now: DataFrame, mains: DataFrame, rows: DataFrame) -> DataFrame:
     """Members outside the main component of a list with all members of other components that they may reach: u < v and k, their meetings."""
-    outside = now.join(mains.select("list", "main"), F.expr("t = list and g <> main")).select(F.col("t").alias("at"), "c", "n", "r", "k", "g", "main")
-    met = outside.alias("a").join(now.alias("b"), F.expr(f"a.at = b.t and a.g <> b.g and (b.g = a.main or a.c < b.c) and {_able('a', 'b')}"))
+    folded = rows.where("n > 0").groupBy("c").agg(*[F.min(f).alias(f) for f in FOLDED])
+    now = now.join(folded, "c")
+    outside = now.join(mains.select("list", "main"), F.expr("t = list and g <> main")).select(F.col("t").alias("at"), "c", "n", "r", "k", "g", "main", *FOLDED)
+    met = outside.alias("a").join(now.alias("b"), F.expr(f"a.at = b.t and a.g <> b.g and (b.g = a.main or a.c < b.c) and {_able('a', 'b')} and {_alike('a', 'b')}"))
     return met.groupBy(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).agg(F.sum("a.k").alias("k"))
 
 
@@ -381,11 +409,11 @@ def _fetched(docs: DataFrame, wanted: DataFrame, collisions: set[int]) -> DataFr
                 offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], ["c", "s"])
 
-    return chosen.mapInArrow(run, "c long, s array<long>")
+    return chosen.mapInArrow(lean(run), "c long, s array<long>")
 
 
 def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, set[int]]:
-    """Rows (doc_id, print, n, c), classes (c, first: its smallest id, n, sketch), lists (t, c, n, r, k) and colliding prints."""
+    """Rows (doc_id, print, n, c, sketch and FOLDED), classes (c, first: its smallest id), lists (t, c, n, r, k) and colliding prints."""
     made = store(_sets(docs), root, "sets")
     known = made.where("kind = 0")
     twice = known.where("n > 0").groupBy("p1").agg(F.min("p2").alias("a"), F.max("p2").alias("b")).where("a <> b").select("p1").limit(10_001).collect()
@@ -393,21 +421,21 @@ def _prepared(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
         raise ValueError("too many hash collisions")
     collisions = {r[0] for r in twice}
     c = F.when(F.col("p1").isin(list(collisions)), F.col("p2")).otherwise(F.col("p1")) if collisions else F.col("p1")
-    rows = known.select("doc_id", "print", "n", c.alias("c"), "small", "sketch")
+    rows = known.select("doc_id", "print", "n", c.alias("c"), "small", "sketch", *FOLDED)
     frequent = made.where("kind = 1").groupBy(F.col("p1").alias("h")).agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "h").limit(FREQUENT)
-    classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), root, "ids")
+    classes = store(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")), root, "ids")
     small = rows.where(F.col("small").isNotNull() & (F.col("n") > 0)).groupBy("c").agg(F.min("n").alias("n"), F.min("small").alias("small"))
     lists = _lists(docs, store(small, root, "small"), frequent, collisions, root)
-    return rows.drop("small", "sketch"), classes, lists, collisions
+    return rows.drop("small"), classes, lists, collisions
 
 
 def _of(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the classes that are in one of the (stored) pairs (u, v)."""
+    """Those of the classes (or their rows) that are in one of the (stored) pairs (u, v)."""
     wanted = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
     return classes.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted, "c")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, root: str, name: str) -> DataFrame:
+def _possible(pairs: DataFrame, rows: DataFrame, root: str, name: str) -> DataFrame:
     """Those of the (stored) pairs that may reach the similarity by their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,9 +445,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, root: str, name: str) -> Dat
             yield batch.select(pairs_columns).filter(pa.array(keep, pa.bool_()))
 
     pairs_columns = pairs.columns
-    known = store(_of(classes, pairs).select("c", "n", "sketch"), root, f"sketches_{name}")
+    known = store(_of(rows, pairs).groupBy("c").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), root, f"sketches_{name}")
     one = pairs.join(known.toDF("u", "n_u", "sketch_u"), "u").join(known.toDF("v", "n_v", "sketch_v"), "v")
-    out = store(one.select(*pairs_columns, "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, pairs.schema), root, f"possible_{name}")
+    out = store(one.select(*pairs_columns, "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(lean(run), pairs.schema), root, f"possible_{name}")
     release(pairs.sparkSession, f"{root}/sketches_{name}")
     return out
 
@@ -475,7 +503,7 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     while True:
         mains = store(_mains(now, k), root, f"mains_{k}")
         pairs = store(_hubs(now, mains, tested), root, f"pairs_{k}")
-        fresh = _links_of(_possible(pairs, classes, root, f"hubs_{k}"), docs, classes, collisions, root, f"hubs_{k}")
+        fresh = _links_of(_possible(pairs, rows, root, f"hubs_{k}"), docs, classes, collisions, root, f"hubs_{k}")
         new = fresh.count()
         n_found += new
         tested = pairs if tested is None else tested.union(pairs)
@@ -489,7 +517,7 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         if new <= FEW_LINKS * n_found:
             break
     mains = store(_mains(now, k), root, f"mains_{k}")
-    left = _possible(store(_untested(_rest(now, mains), tested), root, "left"), classes, root, "left")
+    left = _possible(store(_untested(_rest(now, mains, rows), tested), root, "left"), rows, root, "left")
     for done in (f"now_{k}", f"mains_{k}", *(f"pairs_{j}" for j in range(k))):
         release(spark, f"{root}/{done}")
     for j, tried in enumerate((*TRIED, None)):
@@ -502,7 +530,7 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
             some = store(few.select("p.u", "p.v"), root, f"tried_{j}")
             left = _untested(apart, some).select("u", "v", "k")
         label = _joined(_links_of(some.select("u", "v"), docs, classes, collisions, root, f"rest_{j}"), label, root, f"rest_{j}")
-    return rows, classes, label
+    return rows.drop("sketch", *FOLDED), classes, label
 
 
 def all_links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -510,7 +538,7 @@ def all_links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFra
     rows, classes, lists, collisions = _prepared(docs, root)
     met = lists.alias("a").join(lists.alias("b"), F.expr(f"a.t = b.t and a.c < b.c and {_able('a', 'b')}"))
     pairs = store(_pairs(met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"))), root, "pairs")
-    return rows, classes, _links_of(_possible(pairs, classes, root, "all"), docs, classes, collisions, root, "all")
+    return rows.drop("sketch", *FOLDED), classes, _links_of(_possible(pairs, rows, root, "all"), docs, classes, collisions, root, "all")
 
 
 def _named(rows: DataFrame, classes: DataFrame, label: DataFrame, root: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, stratified, table, with_field, without
+from .common import crc_mod, lean, stratified, table, with_field, without
 
 # Look-alike letters and the digits and signs written for letters.
 LOOKALIKES = {
@@ -209,7 +209,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "toxici
             made = pa.array([model.score(*model.raw(finder, t.as_py())) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, output])
 
-    return df.mapInArrow(run, with_field(df.schema, T.StructField(output, T.DoubleType())))
+    return df.mapInArrow(lean(run), with_field(df.schema, T.StructField(output, T.DoubleType())))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from millrace.llm import byte_bpe, decontaminate, exact_topk, html_extract, jaccard_join, language_id, line_dedup, toxicity
+from millrace.llm import byte_bpe, common, decontaminate, exact_topk, html_extract, jaccard_join, language_id, line_dedup, toxicity
 from millrace.llm.components import components
 from millrace.llm.common import shared_dir
 
@@ -650,16 +650,34 @@ def test_least_reachable_is_the_component():
     assert dict(zip(*(x.tolist() for x in jaccard_join.least_reachable(u, v)))) == want
 
 
+def test_workers_keep_the_cache_that_a_task_names_and_no_other():
+    kept, gone = common.cache("test kept"), common.cache("test gone")
+    kept[1] = gone[1] = byte_bpe.powers(byte_bpe.POWER, 5)
+    run = common.lean(lambda batches: (x + 1 for x in batches), "test kept")
+    assert list(run(iter([1, 2]))) == [2, 3] and kept and not gone and not byte_bpe._powers
+    assert byte_bpe.powers(byte_bpe.POWER, 3).tolist()[:2] == [1, int(byte_bpe.POWER)]
+
+
+def two_of_each_passage(common, own):
+    return [prose(common, 40 + g) + " " + prose(own, 4000 + 2 * g + k) for g in range(6) for k in range(2)]
+
+
 def test_unlike_texts_of_one_passage_open_one_list_and_fetch_no_sets(spark, monkeypatch):
-    """Texts that share two thirds meet in many lists of the same members; their sketches show that none is linked."""
-    passage, fetched = prose(400, 41), []
-    texts = [passage + " " + prose(90, 4000 + k) + " " + prose(90, 4100 + k) for k in range(8)]
+    """Two texts that share half meet in many lists of the same members; their sketches show that they are not linked."""
+    texts, fetched = two_of_each_passage(400, 180), []
     lists = jaccard_join._prepared(frame(spark, texts), shared_dir(spark))[2].collect()
-    assert len({r.t for r in lists}) <= 1 and len(lists) <= 8
+    assert len(lists) == 12 and len({r.t for r in lists}) == 6
     links_of = jaccard_join._links_of
     monkeypatch.setattr(jaccard_join, "_links_of", lambda pairs, *rest: fetched.append(pairs.count()) or links_of(pairs, *rest))
     assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == brute_components(texts)
-    assert sum(fetched) == 0
+    assert fetched and sum(fetched) == 0
+
+
+def test_unlike_members_of_a_list_do_not_meet(spark):
+    """Their folded sketches keep unlike short texts of one list from being paired."""
+    rows, classes, lists, _ = jaccard_join._prepared(frame(spark, two_of_each_passage(40, 20)), shared_dir(spark))
+    now = lists.selectExpr("*", "c AS g")
+    assert now.count() and jaccard_join._rest(now, jaccard_join._mains(now, 1), rows).count() == 0
 
 
 @pytest.mark.parametrize("local", [0, 1 << 17])
