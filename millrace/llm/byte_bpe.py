@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -381,11 +381,7 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> ByteBpe:
     return _loaded[key]
 
 
-def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``output`` (array<int>): the ids of every whole text, as ``encode_ordinary`` of the tiktoken library gives them."""
-    df = without(df, output)
-    at = df.columns.index(text)
-
+def _encoding(at: int, output: str, path: str | None = None, pattern: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
@@ -395,14 +391,10 @@ def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: s
                 made = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, output])
 
-    return df.mapInArrow(lean(run, "tokenizers"), with_field(df.schema, T.StructField(output, T.ArrayType(T.IntegerType()))))
-
+    return run
 
-def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``output`` (binary): the bytes that the ids stand for (null ids: null)."""
-    df = without(df, output)
-    at = df.columns.index(ids)
 
+def _decoding(at: int, output: str, path: str | None = None, pattern: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
@@ -418,13 +410,35 @@ def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path:
                     made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, output])
 
+    return run
+
+
+def encode(df: DataFrame, text: str = "text", output: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Add ``output`` (array<int>): the ids of every whole text, as ``encode_ordinary`` of the tiktoken library gives them."""
+    df = without(df, output)
+    run = _encoding(df.columns.index(text), output, path, pattern)
+    return df.mapInArrow(lean(run, "tokenizers"), with_field(df.schema, T.StructField(output, T.ArrayType(T.IntegerType()))))
+
+
+def decode(df: DataFrame, ids: str = "token_ids", output: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Add ``output`` (binary): the bytes that the ids stand for (null ids: null)."""
+    df = without(df, output)
+    run = _decoding(df.columns.index(ids), output, path, pattern)
     return df.mapInArrow(lean(run, "tokenizers"), with_field(df.schema, T.StructField(output, T.BinaryType())))
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes; a row for each row."""
     ids = free_name(df, "token_ids")
-    coded = decode(encode(df.select(key, text), text, ids).select(key, ids), ids)
+    picked = df.select(key, text)
+    encoding, decoding = _encoding(1, ids), _decoding(1, "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both in one Python worker, so that a task has one tokenizer."""
+        return decoding(batch.select([0, 2]) for batch in encoding(batches))
+
+    schema = with_field(T.StructType(picked.schema.fields[:1]), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()))
+    coded = picked.mapInArrow(lean(run, "tokenizers"), schema)
     return coded.select(
         key,
         F.size(ids).cast("long").alias("n_tokens"),

@@ -650,6 +650,12 @@ def test_least_reachable_is_the_component():
     assert dict(zip(*(x.tolist() for x in jaccard_join.least_reachable(u, v)))) == want
 
 
+def test_digests_need_one_python_worker_a_task(spark):
+    made = byte_bpe.digests(frame(spark, ["one two", None, ""]))
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.decoded_sha256 for r in made.orderBy("doc_id").collect()] == [hashlib.sha256(x).hexdigest() for x in (b"one two", b"", b"")]
+
+
 def test_workers_keep_the_cache_that_a_task_names_and_no_other():
     kept, gone = common.cache("test kept"), common.cache("test gone")
     kept[1] = gone[1] = byte_bpe.powers(byte_bpe.POWER, 5)
