@@ -16,8 +16,8 @@ similarity are verified.
 
 ``links`` scans the lists in rounds that find enough links to connect all classes that are linked. First the members of a list
 meet a few hubs, every class is compared with the hub it meets most often, and verified links join classes into components; lists
-that hold a single component are done. When a round finds next to nothing, every member outside a list's largest component meets
-all members of other components. Of these pairs a few for any two components are verified first, those with most meetings; then
+that hold a single component are done. When a round finds next to nothing, or that costs no more than a few rounds (lists of a few
+members that only share a passage find nothing in any), every member outside a list's largest component meets all members of other components. Of these pairs a few for any two components are verified first, those with most meetings; then
 all that still lie in different components. Every link between sets whose components are not known to be one is verified,
 and none is guessed, so a group of near copies costs about as many meetings as it has postings and not its square. ``all_links`` verifies every candidate pair; its output is quadratic in such a group.
 
@@ -56,8 +56,9 @@ SPLIT = 50_000
 HUBS = 8
 #: Hubs that a class is compared with in a round after the first, by their sketches.
 TRIES = 4
-#: Rounds of hubs end when one finds at most this share of all links found; no link is lost by it.
-FEW_LINKS = 0.01
+#: Rounds of hubs end when one finds at most this share of all links found, or when comparing all that is left takes at most so
+#: many rounds' comparisons (HUBS for each posting; a round also writes all postings anew). No link is lost by either.
+FEW_LINKS, ROUNDS_WORTH = 0.01, 4
 #: Pairs of any two components that are verified in each round before all are.
 TRIED = (1, 16)
 #: Subsets for each posting up to which enumeration is measured.
@@ -343,7 +344,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _mains(now: DataFrame, k: int) -> DataFrame:
-    """For every list that holds several components: the largest (main; of equals another in every round k) and up to HUBS members of it.
+    """For every list that holds several components: the largest (main; of equals another in every round k), up to HUBS members of it, and the sizes of the list and of main.
 
     In round 0, where every class is a component, there is no main and the hubs are any members.
     """
@@ -351,8 +352,14 @@ def _mains(now: DataFrame, k: int) -> DataFrame:
     g = F.col("g") if k else F.lit(None).cast("long")
     some = now.groupBy("t", g.alias("g"), F.pmod(draw("c"), F.lit(HUBS)).alias("b")).agg(F.count("*").alias("k"), F.min(F.struct(draw("c").alias("draw"), "c", "n", "r")).alias("m"))
     parts = some.groupBy("t", "g").agg(F.sum("k").alias("k"), F.array_sort(F.collect_list("m")).alias("hubs"))  # HUBS of them at most
-    lists = parts.groupBy("t").agg(F.max(F.struct("k", draw("g").alias("draw"), "g", "hubs")).alias("top"), F.count("*").alias("parts"))
-    return lists.where("parts > 1" if k else "top.k > 1").select(F.col("t").alias("list"), F.col("top.g").alias("main"), F.col("top.hubs").alias("hubs"))
+    lists = parts.groupBy("t").agg(F.max(F.struct("k", draw("g").alias("draw"), "g", "hubs")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("members"))
+    return lists.where("parts > 1" if k else "top.k > 1").select(F.col("t").alias("list"), F.col("top.g").alias("main"), F.col("top.hubs").alias("hubs"), "members", F.col("top.k").alias("inside"))
+
+
+def _worth_all(mains: DataFrame) -> bool:
+    """Whether comparing the members outside the main components with their whole lists costs no more than ROUNDS_WORTH rounds of hubs."""
+    every, round_ = mains.agg(F.sum(F.expr("members * (members - inside)")), F.sum("members")).first()
+    return not every or every <= ROUNDS_WORTH * HUBS * round_
 
 
 def _hubs(now: DataFrame, mains: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -499,9 +506,11 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, print, n, c), classes (c, first) and the components (node, label) of all classes that are linked."""
     spark = docs.sparkSession
     rows, classes, lists, collisions = _prepared(docs, root)
-    now, label, tested, n_found, k = lists.withColumn("g", F.col("c")), None, None, 0, 0
+    now, label, tested, new, n_found, k = lists.withColumn("g", F.col("c")), None, None, 0, 0, 0
     while True:
         mains = store(_mains(now, k), root, f"mains_{k}")
+        if k and (new <= FEW_LINKS * n_found or _worth_all(mains)):
+            break
         pairs = store(_hubs(now, mains, tested), root, f"pairs_{k}")
         fresh = _links_of(_possible(pairs, rows, root, f"hubs_{k}"), docs, classes, collisions, root, f"hubs_{k}")
         new = fresh.count()
@@ -514,9 +523,6 @@ def links(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         for done in (f"now_{k}" if k else "lists", f"mains_{k}"):
             release(spark, f"{root}/{done}")
         k += 1
-        if new <= FEW_LINKS * n_found:
-            break
-    mains = store(_mains(now, k), root, f"mains_{k}")
     left = _possible(store(_untested(_rest(now, mains, rows), tested), root, "left"), rows, root, "left")
     for done in (f"now_{k}", f"mains_{k}", *(f"pairs_{j}" for j in range(k))):
         release(spark, f"{root}/{done}")

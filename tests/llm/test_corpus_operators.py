@@ -693,6 +693,18 @@ def test_components_of_rounds_join_in_the_driver_or_by_stars(spark, monkeypatch,
     assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == brute_components(texts)
 
 
+def test_rounds_of_hubs_end_when_the_rest_costs_less(spark, monkeypatch):
+    """What short lists still hold after one round is compared at once; more rounds, made here by force, give the same."""
+    texts, hubs, rounds = near_copies(), jaccard_join._hubs, []
+    want = brute_components(texts)
+    monkeypatch.setattr(jaccard_join, "_hubs", lambda *a: rounds.append(1) or hubs(*a))
+    assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == want
+    assert len(rounds) == 1
+    monkeypatch.setattr(jaccard_join, "ROUNDS_WORTH", 0)
+    assert {tuple(r) for r in jaccard_join.join_classes(frame(spark, texts)).drop("print").collect()} == want
+    assert len(rounds) > 2
+
+
 def test_jaccard_survivors(spark):
     texts = near_copies()
     want = {c for i, n, c in brute_components(texts) if n} | {i for i, n, c in brute_components(texts) if not n}
