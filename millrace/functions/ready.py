@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,17 @@ from ..schema import field_of
 from ..session import column
 
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-OTHER = SPACE.replace("[", "[^", 1)
 #: Parts of a text whose places are summed up together, so that the work stays linear.
 TOGETHER = 64
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: What stands between two tokens, or before the first or after the last, unless it is one blank: a run of punctuation is
+#: looked through once, from its start. Most characters fail the first class, spelt out since Java has one table for single
+#: characters but calls a function for each range.
+BETWEEN = (
+    f"[^{string.digits}{string.ascii_letters}](?:(?<= )[{PUNCTUATION}{SPACE}]++"
+    rf"|(?<={PUNCTUATION})(?<!{PUNCTUATION}{{2}})(?:{PUNCTUATION}*+(?:{SPACE}|\z)|(?<=\A{PUNCTUATION}))[{PUNCTUATION}{SPACE}]*+"
+    f"|(?<=[{SPACE}&&[^ ]])[{PUNCTUATION}{SPACE}]*+)"
+)
 
 
 def identity(df: DataFrame) -> DataFrame:
@@ -30,8 +38,7 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df
     for n in columns:
         field_of(df.schema, n, "normalise")
-        bare = F.regexp_replace(column(n), f"(?<!{OTHER}){PUNCTUATION}++|{PUNCTUATION}++(?!{OTHER})", "")
-        out = out.withColumn(n, F.lower(F.trim(F.regexp_replace(bare, SPACE + "+", " "))))
+        out = out.withColumn(n, F.lower(F.trim(F.regexp_replace(column(n), BETWEEN, " "))))
     return out
 
 
