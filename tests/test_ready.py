@@ -36,6 +36,7 @@ def test_normalise_equals_a_plain_version(spark):
 def test_normalise_looks_once_through_a_run_of_punctuation(spark):
     run = "a" + "-" * 100_000 + "b"
     df = spark.createDataFrame([(run,)], "t string")
+    normalise(spark.createDataFrame([("a",)], "t string"), ["t"]).collect()  # start-up doesn't count
     began = time.perf_counter()
     assert normalise(df, ["t"]).first().t == run
     assert time.perf_counter() - began < 5
